@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, secret_scan, sharding, topk
+from . import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, topk, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -42,9 +50,27 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_histogram_shards, op6_byte_bpe, op7_secret_ledger, op8_tiled_topk, op9_chat_format, op10_quality_llr)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_source_mix, op4_histogram_shards, op5_string_kernel, op6_byte_bpe, op7_secret_ledger, op8_tiled_topk, op9_chat_format, op10_quality_llr)}
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), g AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS grams FROM w
+        ), s AS (SELECT doc_id, len(grams) AS n FROM g),
+        e AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+        c AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+        )
+        SELECT s.doc_id, CAST(any_value(s.n) AS BIGINT) AS n_shingles, min(other) AS component_id FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id
+    """,
     "op8_tiled_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
