@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, topk, toxicity
+from . import bpe, chat, jaccard, mixing, quality, secret_scan, sharding, suffix, topk, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_source_mix, op4_histogram_shards, op5_string_kernel, op6_byte_bpe, op7_secret_ledger, op8_tiled_topk, op9_chat_format, op10_quality_llr)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ngram_jaccard, op3_source_mix, op4_histogram_shards, op5_string_kernel, op6_byte_bpe, op7_secret_ledger, op8_tiled_topk, op9_chat_format, op10_quality_llr)}
 
 ORACLE_SQL = {
     "op2_ngram_jaccard": r"""
