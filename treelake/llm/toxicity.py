@@ -33,7 +33,7 @@ SAMPLE_DOCS = 12_000
 DECAY = 0.6
 SPAN = 6
 #: The kernel's power, and the likeness under which it counts as 0.
-POWER, LEAST = 2, 0.45
+POWER, LEAST = 2, 0.5
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 128
 #: Letters of a window, its two end marks included; a longer unit counts as its highest window.
 WINDOW, STRIDE = 26, 12
@@ -102,10 +102,12 @@ class Landmarks:
     """The kernel between words and the landmarks. Norms depend on length alone, which keeps the kernel positive; the
     power of a kernel is a kernel."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], n_toxic: int | None = None):
         windows, owner = codes([w[: WINDOW - 2] for w in words])
         parts = [(code[there], np.nonzero(there)[0], weight) for code, there, weight in triples(windows)]
         known = np.unique(np.concatenate([p[0] for p in parts]))
+        self.n_toxic = len(words) if n_toxic is None else n_toxic
+        # Codes with padding are in no landmark, so they weigh nothing below.
         self.at = np.full(CODES**3, len(known), np.int32)
         self.at[known] = np.arange(len(known))
         self.right = np.zeros((len(known) + 1, len(words)), np.float32)
@@ -113,32 +115,38 @@ class Landmarks:
         for code, row, weight in parts:
             np.add.at(self.right, (self.at[code], row), weight / size[row])
         self.most = np.zeros(CODES**3, np.float32)
-        self.most[known] = self.right[:-1].max(1)
+        self.most[known] = self.right[:-1, : self.n_toxic].max(1)
 
     @staticmethod
     def norms(windows: np.ndarray) -> np.ndarray:
+        length = (windows > 0).sum(1)
         total = np.zeros(len(windows))
-        for _, there, weight in triples(windows):
-            total += weight * weight * there.sum(1)
-        return np.sqrt(np.maximum(total, 1e-9))
+        for a, b in GAPS:
+            total += DECAY ** (2 * (a + b + 1)) * np.maximum(length - a - b, 0)
+        return np.sqrt(np.maximum(total, 1e-9)).astype(np.float32)
 
     def kernel(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (word numbers, kernel rows) of the windows that may be like some landmark: likeness is at most the
-        sum over subsequences with the highest weight that any landmark gives each, so the others have 0."""
-        for start in range(0, len(words), 20_000):
-            windows, owner = codes(words[start : start + 20_000])
+        """Blocks of (word numbers, kernel rows) of the windows that are like some toxic landmark; the others count as
+        bare. Likeness is at most the sum over subsequences with the highest weight that a landmark gives each."""
+        by_length = np.argsort([len(w) for w in words], kind="stable")
+        for start in range(0, len(words), 8192):
+            numbers = by_length[start : start + 8192]
+            windows, owner = codes([words[k] for k in numbers.tolist()])
             windows = windows[:, : max(3, int((windows > 0).sum(1).max(initial=3)))]
-            bound, size = np.zeros(len(windows)), self.norms(windows)
-            for code, there, weight in triples(windows):
-                bound += weight * np.where(there, self.most[code], 0).sum(1)
+            bound, size = np.zeros(len(windows), np.float32), self.norms(windows)
+            for code, _, weight in triples(windows):
+                bound += np.float32(weight) * self.most[code].sum(1)
             near = np.flatnonzero(bound >= LEAST * size)
             for first in range(0, len(near), 512):
                 rows = near[first : first + 512]
                 like = np.zeros((len(rows), self.right.shape[1]), np.float32)
-                for code, there, weight in triples(windows[rows]):
-                    like += weight * self.right[np.where(there, self.at[code], len(self.right) - 1)].sum(1)
+                for code, _, weight in triples(windows[rows]):
+                    at = self.at[code]
+                    for k in range(at.shape[1]):
+                        like += np.float32(weight) * self.right[at[:, k]]
                 like /= size[rows][:, None]
-                yield owner[rows] + start, np.where(like >= LEAST, like, 0) ** POWER
+                some = np.flatnonzero(like[:, : self.n_toxic].max(1) >= LEAST)
+                yield numbers[owner[rows[some]]], np.where(like[some] >= LEAST, like[some], 0) ** POWER
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The kernel row of each word: that of the window which is likest to any landmark."""
@@ -153,8 +161,8 @@ class Landmarks:
 class Scorer:
     """Decision values of words, remembered."""
 
-    def __init__(self, landmarks: list[str], beta: np.ndarray, bias: float):
-        self.landmarks, self.beta, self.bias, self.memo = Landmarks(landmarks) if landmarks else None, beta, bias, {}
+    def __init__(self, landmarks: list[str], n_toxic: int, beta: np.ndarray, bias: float):
+        self.landmarks, self.beta, self.bias, self.memo = Landmarks(landmarks, n_toxic) if landmarks else None, beta, bias, {}
 
     def evaluate(self, words: list[str]) -> list[float]:
         out = np.full(len(words), self.bias)
@@ -195,10 +203,10 @@ def distorted(word: str) -> list[str]:
     return [word[:k] + extra + word[k:] for k in range(1, len(word)) for extra in ("x", word[k - 1])] if len(word) >= 5 else []
 
 
-def train(sample: DataFrame) -> tuple[list[str], np.ndarray, float, float, float]:
-    """Landmarks, their weights, bias, and slope and offset of the logistic curve. All that comes back is bounded by the
+def train(sample: DataFrame) -> tuple:
+    """Landmarks, how many of them are toxic (they come first), their weights, bias, and slope and offset of the logistic curve. All that comes back is bounded by the
     sample."""
-    empty = [], np.zeros(0), 0.0, 1.0, -4.0
+    empty = [], 0, np.zeros(0), 0.0, 1.0, -4.0
     columns = ["toxic", "text"]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +235,7 @@ def train(sample: DataFrame) -> tuple[list[str], np.ndarray, float, float, float
     landmarks = toxic + clean
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Scorer(landmarks, np.array([1.0] * len(toxic) + [-1.0] * len(clean)) / 4, 0.0)
+        first = Scorer(landmarks, len(toxic), np.array([1.0] * len(toxic) + [-1.0] * len(clean)) / 4, 0.0)
         for batch in batches:
             for flags, texts in row_chunks(batch, columns, 1 << 20):
                 out = []
@@ -262,7 +270,7 @@ def train(sample: DataFrame) -> tuple[list[str], np.ndarray, float, float, float
     beta = whiten @ w
     top = np.array([p[1] for p in picked])
     slope, offset = logistic((rows @ beta + b)[top], sign[top] > 0, count_[top])
-    return landmarks, beta, float(b), slope, offset
+    return landmarks, len(toxic), beta, float(b), slope, offset
 
 
 def svm(x: np.ndarray, sign: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
@@ -300,14 +308,14 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def score_documents(docs: DataFrame, model: tuple[list[str], np.ndarray, float, float, float]) -> DataFrame:
+def score_documents(docs: DataFrame, model: tuple) -> DataFrame:
     """doc_id, score of every row of docs (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = ["doc_id", "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        landmarks, beta, bias, slope, offset = held.value
-        scorer = Scorer(landmarks, beta, bias)
+        landmarks, n_toxic, beta, bias, slope, offset = held.value
+        scorer = Scorer(landmarks, n_toxic, beta, bias)
         for batch in batches:
             for ids, texts in row_chunks(batch, columns, 4 << 20):
                 # The highest sentence's highest unit is the document's highest unit.
