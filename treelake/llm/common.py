@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

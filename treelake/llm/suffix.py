@@ -14,7 +14,7 @@ string occurs once in the corpus are dropped at once; what is left is sorted as
 * an anchor string with more than HOT contexts does not fit a task: there the windows themselves are hashed, and counted
   by key over all tasks.
 
-Repeats inside one chunk of a task are settled there (map-side combine), so no key has more rows than there are chunks.
+Repeats inside one task are settled there (map-side combine), so no key has more rows than there are tasks.
 Which anchor strings occur twice is told to the tasks by a bit table of fixed size (2 ** BITS bits); what it lets through
 by accident is settled by the exact steps after it.
 
@@ -41,8 +41,14 @@ LENGTH = 100
 GRAM = 32
 BITS = 27
 HOT = 20_000
-PIECE = 1 << 21
-BLOCK_ROWS = 40_000
+#: Bytes of text handled at once; longer texts are cut into pieces of this size.
+CHUNK = 1 << 21
+BLOCK_ROWS = 30_000
+#: Stands for a null doc_id, which comes before all others.
+NULL_ID = -(1 << 62)
+
+
+NUMBERS = ["gram", "context", "doc_id", "place", "back", "front"]
 
 
 def pieces(ids: list, texts: list[str]) -> tuple[list, list[int], list[bytes]]:
@@ -50,10 +56,10 @@ def pieces(ids: list, texts: list[str]) -> tuple[list, list[int], list[bytes]]:
     out_ids, offsets, parts = [], [], []
     for doc, text in zip(ids, texts, strict=True):
         raw = text.encode()
-        for at in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
+        for at in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
             out_ids.append(doc)
             offsets.append(at)
-            parts.append(raw[at : at + PIECE + LENGTH - 1])
+            parts.append(raw[at : at + CHUNK + LENGTH - 1])
     return out_ids, offsets, parts
 
 
@@ -67,7 +73,11 @@ def chunk_anchors(ids: list, texts: list[str]):
 
 
 def slot(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (gram >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def slot_of(gram: str):
+    return F.expr(f"shiftrightunsigned({gram}, {64 - BITS})")
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -85,59 +95,102 @@ def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 def repeated_grams(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in row_chunks(batch, ["doc_id", "text"], 4 << 20):
+            for ids, texts in row_chunks(batch, ["doc_id", "text"], CHUNK):
                 gram = chunk_anchors(ids, texts)[6]
                 found, counts = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8)), pa.array(slot(found))], ["gram", "n", "slot"])
-
-    seen = rows.mapInArrow(run, "gram long, n tinyint, slot long").groupBy("gram", "slot").agg(F.sum("n").alias("n"))
-    return bit_table(seen.filter("n > 1").select("slot"))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8))], ["gram", "n"])
+
+    seen = rows.mapInArrow(run, "gram long, n tinyint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return bit_table(seen.filter("n > 1").select(slot_of("gram").alias("slot")))
+
+
+class Leads:
+    """The earliest occurrence of each (gram, context) that a task has met."""
+
+    def __init__(self):
+        self.key = np.zeros(0, np.uint64)
+        self.rows = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)]
+
+    def settle(self, gram, context, doc, place) -> np.ndarray:
+        """Which of these (distinct) entries come after one that was met before; the others are taken in."""
+        key = mix(gram + mix(context))
+        later = np.zeros(len(key), bool)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            g, c, d, p = (r[at] for r in self.rows)
+            later = (g == gram) & (c == context) & ((d < doc) | ((d == doc) & (p < place)))
+        fresh = ~later
+        key = np.concatenate([self.key, key[fresh]])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.rows = [np.concatenate([old, new[fresh]])[order] for old, new in zip(self.rows, (gram, context, doc, place), strict=True)]
+        return later
+
+
+def task_leads(batches: Iterable[pa.RecordBatch], table: np.ndarray):
+    """For each chunk of a task: data, and of the anchors whose gram is in the table gram, context, doc, place, back,
+    front, first and last window (in data), and whether each is the task's lead of its context."""
+    met = Leads()
+    for batch in batches:
+        for ids, texts in row_chunks(batch, ["doc_id", "text"], CHUNK):
+            names, data, document, place, first, last, gram, shift = chunk_anchors(ids, texts)
+            some = np.flatnonzero(is_set(table, slot(gram)))
+            if not len(some):
+                continue
+            document, place, first, last, gram = (x[some] for x in (document, place, first, last, gram))
+            back, front = place - first, place - last
+            context = mix(PrefixHash(data, 1).of(first, last + LENGTH) + mix((back * 128 + front).astype(np.uint64)))
+            known = np.array([NULL_ID if i is None else i for i in names], np.int64)[document]
+            absolute = place + shift[document]
+            order = np.lexsort((absolute, known, context, gram))
+            gram, context, known, absolute, back, front, first, last = (x[order] for x in (gram, context, known, absolute, back, front, first, last))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+            again = np.zeros(len(order), bool)  # repeated rows of one document are no repeats of each other
+            again[1:] = ~lead[1:] & (known[1:] == known[:-1]) & (absolute[1:] == absolute[:-1])
+            heads = np.flatnonzero(lead)
+            lead[heads[met.settle(gram[heads], context[heads], known[heads], absolute[heads])]] = False
+            keep = ~again
+            yield data, *(x[keep] for x in (gram, context, known, absolute, back, front, first, last, lead))
 
 
 def repeated_anchors(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """Two kinds of rows. Anchors: gram, context (hash), doc_id, place, back and front (offsets of the first and last
-    window before the anchor), bytes. Spans that are repeats inside a chunk: doc_id, start, stop."""
+    window before the anchor). Spans that are repeats inside a task: doc_id, start, stop."""
     held = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in row_chunks(batch, ["doc_id", "text"], 4 << 20):
-                names, data, document, place, first, last, gram, shift = chunk_anchors(ids, texts)
-                some = np.flatnonzero(is_set(held.value, slot(gram)))
-                document, place, first, last, gram = (x[some] for x in (document, place, first, last, gram))
-                back, front = place - first, place - last
-                context = mix(PrefixHash(data, 1).of(first, last + LENGTH) + mix((back * 128 + front).astype(np.uint64)))
-                known = np.array([-(1 << 62) if i is None else i for i in names], np.int64)[document]
-                absolute = place + shift[document]
-                order = np.lexsort((absolute, known, context, gram))
-                head = np.ones(len(order), bool)
-                head[1:] = (gram[order][1:] != gram[order][:-1]) | (context[order][1:] != context[order][:-1])
-                one = np.ones(len(order), bool)
-                one[1:] = head[1:] | (known[order][1:] != known[order][:-1]) | (absolute[order][1:] != absolute[order][:-1])
-                lead, rest = order[head], order[~head & one]
-                begin, finish = merged(known[rest], absolute[rest] - back[rest], absolute[rest] - front[rest] + LENGTH)
-                owner = begin[0]
-                n, m = len(lead), len(owner)
-                raw = data.tobytes()
-                byte = [raw[a : b + LENGTH] for a, b in zip(first[lead].tolist(), last[lead].tolist(), strict=True)]
-                null = lambda k, kind: pa.nulls(k, kind)
-                joined = lambda a, b: pa.concat_arrays([a, b])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        joined(pa.array(known[lead]), pa.array(owner)),
-                        joined(pa.array(gram[lead].view(np.int64)), null(m, pa.int64())),
-                        joined(pa.array(context[lead].view(np.int64)), null(m, pa.int64())),
-                        joined(pa.array(absolute[lead]), null(m, pa.int64())),
-                        joined(pa.array(back[lead].astype(np.int32)), null(m, pa.int32())),
-                        joined(pa.array(front[lead].astype(np.int32)), null(m, pa.int32())),
-                        joined(pa.array(byte, pa.binary()), null(m, pa.binary())),
-                        joined(null(n, pa.int64()), pa.array(begin[1])),
-                        joined(null(n, pa.int64()), pa.array(finish)),
-                    ],
-                    ["doc_id", "gram", "context", "place", "back", "front", "bytes", "start", "stop"],
-                )
-
-    return rows.mapInArrow(run, "doc_id long, gram long, context long, place long, back int, front int, bytes binary, start long, stop long")
+        for _, gram, context, doc, place, back, front, _, _, lead in task_leads(batches, held.value):
+            rest = ~lead
+            begin, stop = merged(doc[rest], place[rest] - back[rest], place[rest] - front[rest] + LENGTH)
+            n, m = int(lead.sum()), len(stop)
+            pair = lambda a, b, kind: pa.concat_arrays([pa.nulls(n, kind) if a is None else pa.array(a, kind), pa.nulls(m, kind) if b is None else pa.array(b, kind)])
+            long, int_ = pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pair(doc[lead], begin[0], long), pair(gram[lead].view(np.int64), None, long), pair(context[lead].view(np.int64), None, long), pair(place[lead], None, long),
+                    pair(back[lead].astype(np.int32), None, int_), pair(front[lead].astype(np.int32), None, int_), pair(None, begin[1], long), pair(None, stop, long),
+                ],
+                ["doc_id", "gram", "context", "place", "back", "front", "start", "stop"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, gram long, context long, place long, back int, front int, start long, stop long")
+
+
+def contexts(rows: DataFrame, several: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """The tasks' leads of grams in the table, with their bytes, and whether the gram is hot."""
+    held = rows.sparkSession.sparkContext.broadcast((several, hot))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several, hot = held.value
+        for data, gram, context, doc, place, back, front, first, last, lead in task_leads(batches, several):
+            raw = data.tobytes()
+            some = np.flatnonzero(lead)
+            byte = [raw[a : b + LENGTH] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+            arrays = [gram[some].view(np.int64), context[some].view(np.int64), doc[some], place[some], back[some].astype(np.int32), front[some].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(byte, pa.binary()), pa.array(is_set(hot, slot(gram[some])))], [*NUMBERS, "bytes", "hot"])
+
+    return rows.mapInArrow(run, "gram long, context long, doc_id long, place long, back int, front int, bytes binary, hot boolean")
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -206,9 +259,6 @@ def new_group(group: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], g[1:] != g[:-1]])
 
 
-NUMBERS = ["gram", "context", "doc_id", "place", "back", "front"]
-
-
 def compare(found: DataFrame) -> DataFrame:
     """doc_id, start, stop of repeats, contexts being compared inside their anchor string's group."""
 
@@ -272,31 +322,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (bytes, overlapping spans not yet joined) of all repeats in docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = materialize(repeated_anchors(rows, repeated_grams(rows)), "anchors")
-    spans = found.filter("gram is null").select("doc_id", "start", "stop")
     entries = found.filter("gram is not null")
+    # Contexts that occurred before, whole.
+    first = F.expr("min(struct(doc_id, place)) over (partition by gram, context)")
+    again = entries.withColumn("first", first).filter("first.doc_id <> doc_id or first.place <> place")
+    spans = found.filter("gram is null").select("doc_id", "start", "stop").unionByName(again.select("doc_id", (F.col("place") - F.col("back")).alias("start"), (F.col("place") - F.col("front") + LENGTH).alias("stop")))
+    # Grams with several contexts.
     kinds = entries.groupBy("gram").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count(F.lit(1)).alias("n"))
-    place = F.expr(f"shiftrightunsigned(xxhash64(gram), {64 - BITS})")
-    tables = kinds.filter("low <> high").select(place.alias("slot"), (F.col("n") > HOT).alias("hot"))
-    tables = materialize(tables, "kinds")
-    several, hot = bit_table(tables.select("slot")), bit_table(tables.filter("hot").select("slot"))
-    context = docs.sparkSession.sparkContext
-    several_, hot_ = context.broadcast(several), context.broadcast(hot)
-
-    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            way = is_set(several_.value, at).astype(np.int8) + is_set(hot_.value, at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(way.astype(np.int8))], [*batch.schema.names[:-1], "way"])
-
-    fields = "gram long, context long, doc_id long, place long, back int, front int"
-    plain = entries.select(*NUMBERS, place.alias("slot")).mapInArrow(route, fields + ", way tinyint").filter("way = 0")
-    alone = plain.withColumn("first", F.expr("min(struct(doc_id, place)) over (partition by gram, context)")).filter("first.doc_id <> doc_id or first.place <> place")
-    spans = spans.unionByName(alone.select("doc_id", (F.col("place") - F.col("back")).alias("start"), (F.col("place") - F.col("front") + LENGTH).alias("stop")))
-    full = entries.select(*NUMBERS, "bytes", place.alias("slot")).mapInArrow(route, fields + ", bytes binary, way tinyint")
-    spans = spans.unionByName(compare(full.filter("way = 1")))
+    kinds = materialize(kinds.filter("low <> high").select(slot_of("gram").alias("slot"), (F.col("n") > HOT).alias("hot")), "kinds")
+    several, hot = bit_table(kinds.select("slot")), bit_table(kinds.filter("hot").select("slot"))
+    full = contexts(rows, several, hot)
+    spans = spans.unionByName(compare(full.filter("not hot")))
     if hot.any():
-        spans = spans.unionByName(window_repeats(full.filter("way = 2")))
-    return spans.withColumn("doc_id", F.expr(f"if(doc_id = {-(1 << 62)}, null, doc_id)"))
+        spans = spans.unionByName(window_repeats(full.filter("hot")))
+    return spans.withColumn("doc_id", F.expr(f"if(doc_id = {NULL_ID}, null, doc_id)"))
 
 
 def joined_spans(starts: list[int], stops: list[int]) -> tuple[np.ndarray, np.ndarray]:
