@@ -4,9 +4,10 @@ A text's set holds the 64-bit hashes of its distinct word n-grams. Texts with eq
 by its least doc_id. The n-grams of a set are put in one global order, rarest first: by a count over all documents in
 2 ** SKETCH_BITS hashed bins (any order gives right results; a rare-first one gives small groups), then by hash. Two sets
 can only be similar enough if their prefixes in that order share an n-gram, so prefixes are exploded, n-grams in one set
-only are dropped, and the sets that share one are compared under three filters: length, position of the shared n-gram,
-and the differences of the sets' counts in BINS hash bins, which bound what prefix and suffix can still have in common.
-Pairs that pass are verified exactly, once a pair, on the texts.
+only are dropped (by a bit table of fixed size; what it lets through finds no partner), and the sets that share one are
+compared under three filters: length, position of the shared n-gram, and signatures: parities of the sets' counts in
+SIGNATURE hash bins, whose distance bounds what prefix and suffix can still have in common. Pairs that pass are verified
+exactly, once a pair, on the texts.
 
 As only links that join components matter, it goes in two rounds. First each set is compared with those before it in a
 group until one passes: at most one pair for every index entry, so a large group of near copies gives a chain and not all
@@ -35,14 +36,17 @@ from .common import materialize, row_chunks, text_or_empty
 from .components import components
 
 SKETCH_BITS = 18
-BINS = 64
+#: Bits of a set's signature: the parities of its n-grams' counts in as many hash bins.
+SIGNATURE = 2048
+#: Bits of the table of n-grams that several sets have in their prefixes; its size is fixed.
+TABLE_BITS = 26
 BLOCK = 8192
 MEMO = 400_000
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
-_memo: dict[str, int] = {}
+_memo: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,21 +54,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def hashed(words: list[bytes]) -> list[int]:
+    try:
+        return list(map(_memo.__getitem__, words))
+    except KeyError:
+        if len(_memo) > MEMO:
+            _memo.clear()
+        for w in words:
+            if w not in _memo:
+                _memo[w] = xxhash.xxh64_intdigest(w)
+        return list(map(_memo.__getitem__, words))
+
+
+def gram_lists(texts: list[str], n: int) -> list[np.ndarray]:
+    """Hashes of the word n-grams of each text, A-Z lowered, in the order of the text."""
+    split = [WORDS.findall(t.encode().translate(LOWER)) for t in texts]
+    size = np.array([len(w) for w in split], np.int64)
+    one = np.array([h for words in split for h in hashed(words)], np.uint64)
+    out, stops = [], np.cumsum(size)
+    if len(one) < n:
+        full = np.zeros(0, np.uint64)
+    else:
+        full = np.full(len(one) - n + 1, n, np.uint64)
+        for i in range(n):
+            full = mix(full + one[i : len(one) - n + 1 + i] * ODD[i % 5] + np.uint64(i))
+    for count, stop in zip(size.tolist(), stops.tolist(), strict=True):
+        if count >= n:
+            out.append(full[stop - count : stop - n + 1])
+        elif count:
+            short = np.full(1, count, np.uint64)
+            for i in range(count):
+                short = mix(short + one[stop - count + i : stop - count + i + 1] * ODD[i % 5] + np.uint64(i))
+            out.append(short)
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
 def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a text, A-Z lowered."""
-    words = WORDS.findall(text.translate(LOWER))
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_memo) > MEMO:
-        _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh64_intdigest(w.encode())
-    one = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    out = np.full(len(one) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix(out + one[i : len(one) - k + 1 + i] * ODD[i % 5] + np.uint64(i))
-    return np.unique(out)
+    """Sorted distinct hashes of the word n-grams of a text."""
+    return np.unique(gram_lists([text], n)[0])
 
 
 def least_overlap(a, b, percent: int):
@@ -78,36 +107,38 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for (texts,) in row_chunks(batch, ["text"]):
-                found = [shingles(t, n) for t in texts]
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            for (texts,) in row_chunks(batch, ["text"], 4 << 20):
+                total += np.bincount((np.concatenate(gram_lists(texts, n)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int32))], ["bin", "n"])
 
-    sums = rows.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.select("text").mapInArrow(run, "bin int, n int").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
     return out
 
 
 def features(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set_hash, prefix (rarest first), bins of every row (doc_id, text)."""
+    """doc_id, n_shingles, set_hash, prefix (rarest first), bins (signature) of every row (doc_id, text)."""
     held = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = held.value
         for batch in batches:
-            for ids, texts in row_chunks(batch, ["doc_id", "text"]):
+            for ids, texts in row_chunks(batch, ["doc_id", "text"], 4 << 20):
                 sizes, hashes, prefixes, bins = [], [], [], []
-                for text in texts:
-                    found = shingles(text, n)
+                for grams in gram_lists(texts, n):
+                    found = np.unique(grams)
                     size = len(found)
-                    order = np.lexsort((found, rarity[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                    # Stable, so n-grams of one count stay in the order of their hashes.
+                    order = np.argsort(rarity[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     keep = size - -(-percent * size // 100) + 1 if size else 0
                     sizes.append(size)
                     hashes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if size else None)
                     prefixes.append(found[order[:keep]].view(np.int64))
-                    bins.append(np.bincount((found & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype("<u4").tobytes())
+                    # Sets that differ in k n-grams differ in k bits at most.
+                    parity = np.bincount((found & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
+                    bins.append(np.packbits(parity.astype(np.uint8)).tobytes())
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes))), pa.array(bins, pa.binary())],
@@ -117,6 +148,48 @@ def features(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, prefix array<long>, bins binary")
 
 
+def slot(token: np.ndarray) -> np.ndarray:
+    return (token.view(np.uint64) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def shared_table(made: DataFrame) -> np.ndarray:
+    """A bit table of the prefix n-grams that more than one set has; 2 ** (TABLE_BITS - 6) words at most come back."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            sets = np.array([int.from_bytes((h or b"")[:8], "little", signed=True) for h in batch.column("set_hash").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(sets, lists.value_lengths().to_numpy(zero_copy_only=False)))], ["token", "s"])
+
+    tokens = made.select("set_hash", "prefix").mapInArrow(run, "token long, s long")
+    several = tokens.groupBy("token").agg(F.min("s").alias("low"), F.max("s").alias("high")).filter("low <> high")
+    at = several.select(F.expr(f"shiftrightunsigned(token, {64 - TABLE_BITS})").alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def shared_entries(made: DataFrame, table: np.ndarray) -> DataFrame:
+    """set_hash, doc_id, n, place, token of the prefix n-grams that the table lets through."""
+    held = made.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            at = slot(token)
+            some = np.flatnonzero((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            pick = pa.array(row[some])
+            columns = [batch.column(c).take(pick) for c in ("set_hash", "doc_id", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place[some].astype(np.int32)), pa.array(token[some])], ["set_hash", "doc_id", "n", "place", "token"])
+
+    return made.select("set_hash", "doc_id", "n_shingles", "prefix").mapInArrow(run, "set_hash binary, doc_id long, n long, place int, token long")
+
+
 def near_pairs(token, rep, size, place, bins, label, percent: int, chain: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of rows of one token that pass all filters; rows are sorted by token, then size. chain: each row is
     compared with those before it, nearest first, until one passes. Else all pairs of different labels."""
@@ -130,14 +203,15 @@ def near_pairs(token, rep, size, place, bins, label, percent: int, chain: bool)
         close = 100 * size[other] >= percent * size[active]  # sizes fall with each step, so this row is done
         active, other = active[close], other[close]
         need = least_overlap(size[active], size[other], percent)
-        able = (np.minimum(place[active], place[other]) + np.minimum(size[active] - place[active], size[other] - place[other]) >= need) & (rep[active] != rep[other])
+        # Of the first n-gram that two sets share: neither has a common one before it.
+        able = (np.minimum(size[active] - place[active], size[other] - place[other]) >= need) & (rep[active] != rep[other])
         if not chain:
             able &= label[active] != label[other]
         able = np.flatnonzero(able)
         passed = []
         for k in range(0, len(able), 1 << 16):
             part = able[k : k + (1 << 16)]
-            apart = np.abs(bins[active[part]] - bins[other[part]]).sum(1)
+            apart = np.bitwise_count(bins[active[part]] ^ bins[other[part]]).sum(1, dtype=np.int64)
             passed.append(part[apart <= size[active[part]] + size[other[part]] - 2 * need[part]])
         if passed:
             passed = np.concatenate(passed)
@@ -159,7 +233,7 @@ def candidates(index: DataFrame, percent: int, chain: bool) -> DataFrame:
 
         def compare(table: pa.Table) -> pa.RecordBatch:
             number = lambda c: table.column(c).to_numpy().astype(np.int64)
-            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), "<u4").reshape(-1, BINS).astype(np.int32)
+            bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64)
             group = np.cumsum(np.concatenate([[0], (np.diff(number("token")) != 0) | (np.diff(number("cell")) != 0)]))
             a, b = near_pairs(group, number("rep"), number("n"), number("place"), bins, number("label"), percent, chain)
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -217,33 +291,36 @@ def verify(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
 def link_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    made = features(rows, n, percent, sketch(rows, n))
-    classes = made.filter("n_shingles > 0").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "prefix", "bins")).alias("r"), F.min("doc_id").alias("rep"))
-    sets = materialize(classes.select("set_hash", "rep", F.col("r.n_shingles").alias("n"), F.col("r.prefix").alias("prefix"), F.col("r.bins").alias("bins")), "sets")
-    index = sets.filter("rep is not null").select("rep", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    entries = index.join(shared, "token").select("token", "rep", "n", "place", "c")
-    blocks = f"greatest(1L, (c + {BLOCK - 1}) div {BLOCK})"
-    whole = entries.join(sets.select("rep", "bins").dropDuplicates(["rep"]), "rep").withColumn("blocks", F.expr(blocks).cast("int")).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)").cast("int"))
-    whole = materialize(whole.withColumn("label", F.col("rep")).drop("c"), "index")
-    chains = candidates(whole.withColumn("cell", F.expr("block * blocks + block")), percent, True)
-    links = materialize(verify(chains, rows, n, percent), "links")
+    made = materialize(features(rows, n, percent, sketch(rows, n)), "features")
+    classes = materialize(made.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    entries = shared_entries(made, shared_table(made)).join(classes, "set_hash").filter("doc_id = rep").dropDuplicates(["token", "rep"])
+    index = materialize(entries.select("token", "rep", "n", "place"), "index")
+    bins = made.select("set_hash", "doc_id", "bins").join(classes, "set_hash").filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bins")
+    bins = materialize(bins, "bins")
+    blocks = index.groupBy("token").agg(F.expr(f"cast((count(1) + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    blocked = index.join(blocks, "token").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    chained = blocked.withColumn("cell", F.expr("block * blocks + block")).withColumn("label", F.col("rep"))
+    tried = materialize(candidates(chained.join(bins, "rep"), percent, True), "pairs")
+    links = materialize(verify(tried, rows, n, percent), "links")
     labels = components(links)
     # The rest: entries of groups that reach over components, every pair of blocks.
-    named = whole.drop("label").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = blocked.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
     cells = named.join(mixed, "token").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * blocks + greatest(block, other)"))
-    rest = verify(candidates(cells, percent, False), rows, n, percent)
+    others = candidates(cells.join(bins, "rep"), percent, False).join(tried, ["a", "b"], "left_anti")
+    rest = verify(materialize(others, "pairs"), rows, n, percent)
     labels = components(links.unionByName(rest))
-    found = made.select("doc_id", "n_shingles", "set_hash").join(sets.select("set_hash", "rep"), "set_hash", "left")
+    found = made.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     named = found.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the one of least doc_id), with its own columns; of repeated rows one stays."""
+    """One document of each component (the one of least doc_id), with its own columns. Of the rows of one doc_id one
+    stays; rows without doc_id all stay."""
     tag = uuid.uuid4().hex[:12]
-    part = link_components(docs, n, percent)
-    lead = part.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(f"d{tag}")).distinct()
-    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col(f"d{tag}")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key, turn = f"k{tag}", f"r{tag}"
+    lead = link_components(docs, n, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.withColumn(key, F.col("doc_id").cast("long"))
+    kept = named.join(lead, key, "left_semi").withColumn(turn, F.expr(f"row_number() over (partition by {key} order by {key})"))
+    return kept.filter(F.col(turn) == 1).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))
