@@ -1,0 +1,30 @@
+"""The corpus pipeline and the registered queries."""
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from treelake.llm import queries
+
+from ..compare import assert_same, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        docs = docs.cache()
+        counts.append(docs.count())
+    assert counts[1] < counts[0] and counts[2] < counts[1] and counts[3] == counts[2]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == counts[4]
+
+
+def test_registered(spark):
+    names = entry.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    con = connect(SF)
+    for name, sql in queries.ORACLE_SQL.items():
+        assert_same(queries.QUERIES[name](spark, SF), con, sql)

@@ -205,9 +205,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, se
     times = chosen.filter("copies > 0").groupBy("draw", "pattern").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
     keyed = docs.withColumn(f"d{tag}", draw(seed)).withColumn(f"p{tag}", F.array(F.col("source").cast("string")))
     marked = keyed.join(times.select(F.col("draw").alias(f"d{tag}"), F.col("pattern").alias(f"p{tag}"), F.col("copies").alias(f"c{tag}"), F.col("n").alias(f"n{tag}")), [f"d{tag}", f"p{tag}"])
-    even = marked.filter(F.col(f"c{tag}") % F.col(f"n{tag}") == 0).withColumn(f"t{tag}", F.expr(f"cast(c{tag} div n{tag} as int)"))
-    odd = marked.filter(F.col(f"c{tag}") % F.col(f"n{tag}") != 0).withColumn(
-        f"t{tag}", F.expr(f"cast(c{tag} div n{tag} as int) + cast(row_number() over (partition by d{tag}, p{tag} order by n_chars) <= c{tag} % n{tag} as int)" if "n_chars" in docs.columns else f"cast(c{tag} div n{tag} as int) + cast(row_number() over (partition by d{tag}, p{tag} order by d{tag}) <= c{tag} % n{tag} as int)")
-    )
-    rows = even.unionByName(odd).filter(F.col(f"t{tag}") > 0)
+    # The join leaves rows of one draw together, so numbering them moves nothing.
+    nth = F.expr(f"row_number() over (partition by d{tag}, p{tag} order by d{tag})")
+    rows = marked.withColumn(f"t{tag}", F.expr(f"cast(c{tag} div n{tag} as int)") + (nth <= F.expr(f"c{tag} % n{tag}")).cast("int")).filter(F.col(f"t{tag}") > 0)
     return rows.withColumn(f"k{tag}", F.explode(F.sequence(F.lit(1), F.col(f"t{tag}")))).select(*docs.columns)

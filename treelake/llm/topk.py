@@ -8,7 +8,8 @@ a query.
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. A query meets
 candidates of its own dimension only, and no row of its own id. Repeated rows of an id are separate candidates; repeated
 query rows share one result list. Fewer candidates than k give all of them; an empty table gives an empty result. Extra
-columns are not used. Scores are exact integers; one beyond 63 bits raises an error.
+columns are not used. Scores are exact integers, held at 63 bits
+where they would pass them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ K = 10
 TILE = 1024
 SHARD = 16_384
 FAN = 64
+#: Scores beyond this count as this.
+MOST = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -51,7 +54,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2.0**53:
         return a @ b.T
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
+    return np.clip(whole(a) @ whole(b).T, -MOST, MOST)
 
 
 def search_tile(queries: pd.DataFrame, shard: pd.DataFrame, k: int = K) -> pd.DataFrame:
