@@ -23,7 +23,7 @@ def plain(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "NULL"
     if isinstance(value, float):
-        return repr(round(value, 6))
+        return str(int(value)) if value.is_integer() else repr(round(value, 6))
     if hasattr(value, "__len__") and not isinstance(value, (str, bytes)):
         return str([plain(v) for v in value])
     return str(value)
