@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, row_chunks, text_or_empty
 from .components import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 21
 #: Bits of a set's signature: the parities of its n-grams' counts in as many hash bins.
 SIGNATURE = 2048
 #: Bits of the table of n-grams that several sets have in their prefixes; its size is fixed.
@@ -102,20 +102,31 @@ def least_overlap(a, b, percent: int):
 
 
 def sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """Counts of n-grams over all rows in hashed bins; the bins alone come back."""
+    """Counts of n-grams over all rows in hashed bins. Tasks send their counts in blocks of bins, which are added up block
+    by block; the bins alone come back."""
+    width = 1 << 13
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for (texts,) in row_chunks(batch, ["text"], 4 << 20):
                 total += np.bincount((np.concatenate(gram_lists(texts, n)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int32))], ["bin", "n"])
+        blocks = np.flatnonzero(total.reshape(-1, width).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([total[k * width : (k + 1) * width].astype("<u4").tobytes() for k in blocks.tolist()], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[block] = sums[block] + part if block in sums else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    sums = rows.select("text").mapInArrow(run, "bin int, n int").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    made = rows.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[sums.column("bin").to_numpy()] = sums.column("n").to_numpy()
-    return out
+    for block, counts in zip(made.column("block").to_pylist(), made.column("counts").to_pylist(), strict=True):
+        out[block * width : (block + 1) * width] = np.frombuffer(counts, np.int64)
+    return out.astype(np.uint32) if out.max(initial=0) < 1 << 32 else out
 
 
 def features(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
