@@ -41,7 +41,7 @@ SIGNATURE = 2048
 #: Bits of the table of n-grams that several sets have in their prefixes; its size is fixed.
 TABLE_BITS = 26
 BLOCK = 8192
-MEMO = 400_000
+MEMO = 150_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -109,7 +109,7 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for (texts,) in row_chunks(batch, ["text"], 4 << 20):
+            for (texts,) in row_chunks(batch, ["text"], 2 << 20):
                 total += np.bincount((np.concatenate(gram_lists(texts, n)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         blocks = np.flatnonzero(total.reshape(-1, width).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([total[k * width : (k + 1) * width].astype("<u4").tobytes() for k in blocks.tolist()], pa.binary())], ["block", "counts"])
@@ -136,7 +136,7 @@ def features(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = held.value
         for batch in batches:
-            for ids, texts in row_chunks(batch, ["doc_id", "text"], 4 << 20):
+            for ids, texts in row_chunks(batch, ["doc_id", "text"], 2 << 20):
                 sizes, hashes, prefixes, bins = [], [], [], []
                 for grams in gram_lists(texts, n):
                     found = np.unique(grams)
