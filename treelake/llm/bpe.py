@@ -26,7 +26,7 @@ from .common import row_chunks
 
 NONE = np.int64(1) << 62
 #: Remembered pieces in one Python worker; beyond that the memory is emptied.
-MEMO = 300_000
+MEMO = 100_000
 #: Tree leaves handled at once.
 LEAVES = 1 << 19
 
@@ -48,7 +48,7 @@ class PairTable:
                     keys.append(left << 20 | right)
                     values.append(rank)
         keys, values = np.array(keys, np.int64), np.array(values, np.int64)
-        self.bits = max(8, int(len(keys) * 4).bit_length())
+        self.bits = max(8, int(len(keys) * 2).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, -1, np.int64)
         slots, left = self._slot(keys), np.arange(len(keys))

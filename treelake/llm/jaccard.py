@@ -41,7 +41,7 @@ SIGNATURE = 2048
 #: Bits of the table of n-grams that several sets have in their prefixes; its size is fixed.
 TABLE_BITS = 26
 BLOCK = 8192
-MEMO = 150_000
+MEMO = 100_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -220,8 +220,8 @@ def near_pairs(token, rep, size, place, bins, label, percent: int, chain: bool)
             able &= label[active] != label[other]
         able = np.flatnonzero(able)
         passed = []
-        for k in range(0, len(able), 1 << 16):
-            part = able[k : k + (1 << 16)]
+        for k in range(0, len(able), 1 << 14):
+            part = able[k : k + (1 << 14)]
             apart = np.bitwise_count(bins[active[part]] ^ bins[other[part]]).sum(1, dtype=np.int64)
             passed.append(part[apart <= size[active[part]] + size[other[part]] - 2 * need[part]])
         if passed:

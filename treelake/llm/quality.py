@@ -30,7 +30,7 @@ SMOOTH = 0.5
 THRESHOLD = -0.15
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
-MEMO = 150_000
+MEMO = 100_000
 
 _memo: dict[str, int] = {}
 
