@@ -1,6 +1,7 @@
 """Mixing, sharding, secrets, quality, search, BPE, chat and toxicity."""
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -179,3 +180,23 @@ def test_toxicity(spark, odd, empty):
     auc = (rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum())
     assert auc > 0.9 and got.score.between(0, 1).all()
     assert toxicity.toxicity_report(odd, labels).count() == 10 and toxicity.toxicity_report(empty, labels.limit(0)).count() == 0
+
+
+def planted_scores(spark, texts):
+    """The score of each text, by a model of the smallest tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(toxicity.training_sample(docs, labels, toxicity.held_out))
+    scores = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    return {texts[r.doc_id]: r.score for r in scores}
+
+
+def test_toxicity_put_in_letters(spark):
+    def put(word, n):
+        return ["".join(("x" if k in at else "") + c for k, c in enumerate(word)) for at in itertools.combinations(range(1, len(word)), n)]
+
+    one = [x for w in ("idiot", "moron", "clown", "stupid", "pathetic") for x in (w, *put(w, 1))] + ["scum"]
+    more = [x for w in ("idiot", "moron", "clown", "stupid", "pathetic") for x in put(w, 2)] + put("pathetic", 3)
+    got = planted_scores(spark, [*one, *more, "table", "window"])
+    assert got["table"] == got["window"] < toxicity.THRESHOLD
+    assert [w for w in one if got[w] < toxicity.THRESHOLD] == []
+    assert [w for w in more if got[w] <= got["table"]] == []
