@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -137,6 +138,29 @@ def test_top_k(spark):
     assert topk.search_every_hundredth(df.limit(0)).count() == 0
 
 
+def test_top_k_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=4).astype("f4")]) for k in range(1, 200)]
+    whole = {k: [int(np.floor(x * 1024)) for x in v] for k, v in rows}
+    # One id of many rows goes to many shards, and is a query as well.
+    frame = lambda more: spark.createDataFrame(rows + more, "vec_id long, embedding array<double>").repartition(3)
+    scored = sorted((-sum(a * b for a, b in zip(whole[100], v, strict=True)), k) for k, v in whole.items() if k != 100)[:10]
+    want = [(100, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
+    assert sorted(tuple(r) for r in topk.search_every_hundredth(frame([rows[99]] * 2)).collect()) == want
+    monkeypatch.setattr(topk, "SHARD", 16)
+    assert sorted(tuple(r) for r in topk.search_every_hundredth(frame([rows[99]] * 300)).collect()) == want
+
+
+def test_top_k_wide_shard():
+    """A shard of more columns than the packed order has room for."""
+    n = 150_000
+    queries = pd.DataFrame({"vec_id": [-1], "vec": [np.array([1.0])], "shard": [0]})
+    shard = pd.DataFrame({"vec_id": np.arange(n), "vec": list((np.arange(n) // 10 % 9973 / 1024.0)[:, None]), "shard": 0})
+    got = topk.search_tile(queries, shard)
+    want = sorted((-1024 * (k // 10 % 9973), k) for k in range(n))[:10]
+    assert list(zip(got.vec_id, got.score)) == [(k, -s) for s, k in want]
+
+
 def test_bpe(documents, odd, empty):
     texts = ["", None, " ", "Hello  world's\n\n 123", "a" * 700, "日本語😀 ééé", "ab" * 300, "x\t y  \n", "thonblehain ndreea$$$"]
     rows = list(enumerate(texts))

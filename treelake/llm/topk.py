@@ -1,7 +1,8 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors become integers (floor of SCALE times each component). Queries are dealt into tiles and candidates into shards of
-bounded size by a hash of their ids; every (tile, shard) pair is one matrix product in one task, of which each query
+Vectors become integers (floor of SCALE times each component). Repeated query rows are made one. Queries are dealt into
+tiles by a hash of the whole row, candidates into shards at random places of the table, so that rows of one id or one
+vector spread out; every (tile, shard) pair is one matrix product in one task, of which each query
 keeps its k best. The partial lists are merged as a tree, FAN shards at a time, so no task sees more than FAN * k rows of
 a query.
 
@@ -23,6 +24,8 @@ SCALE = 1024
 K = 10
 TILE = 1024
 SHARD = 16_384
+#: Columns of one matrix product; best() has room for so many beside the score.
+PIECE = 1 << 16
 FAN = 64
 #: Scores beyond this count as this.
 MOST = (1 << 63) - 1
@@ -58,6 +61,15 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_tile(queries: pd.DataFrame, shard: pd.DataFrame, k: int = K) -> pd.DataFrame:
+    """The k best rows of a shard for each query, found in pieces of at most PIECE rows."""
+    pieces = [search_piece(queries, shard.iloc[start : start + PIECE], k) for start in range(0, len(shard), PIECE)] or [search_piece(queries, shard, k)]
+    if len(pieces) == 1:
+        return pieces[0]
+    both = pd.concat(pieces).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+    return both.groupby("query_id", sort=False).head(k).reset_index(drop=True)
+
+
+def search_piece(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(queries) and len(shard):
         shard = shard.sort_values("vec_id", kind="stable")
@@ -68,21 +80,22 @@ def search_tile(queries: pd.DataFrame, shard: pd.DataFrame, k: int = K) -> pd.Da
             left = np.floor(np.stack(part["vec"].to_numpy()) * SCALE)
             scores = product(left, right)
             own = part["vec_id"].to_numpy(np.int64)[:, None] == ids
-            extra = int(own.sum(1).max(initial=0))
-            columns = best(scores, k + extra)
+            # Rows of the query's own id go behind all others.
+            scores[own] = scores.min() - 1
+            columns = best(scores, k)
             for row, query in enumerate(part["vec_id"].tolist()):
-                chosen = [c for c in columns[row].tolist() if ids[c] != query][:k]
+                chosen = [c for c in columns[row].tolist() if not own[row, c]]
                 out += [(query, int(shard["shard"].iloc[0]), int(ids[c]), int(scores[row, c])) for c in chosen]
     return pd.DataFrame(out, columns=["query_id", "shard", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of vectors for each row of queries."""
-    asked, held = usable(queries, key, vector), usable(vectors, key, vector)
+    asked, held = usable(queries, key, vector).dropDuplicates(["vec_id", "vec"]), usable(vectors, key, vector)
     n_asked, n_held = asked.count(), held.count()
     tiles, shards = max(1, -(-n_asked // TILE)), max(1, -(-n_held // SHARD))
-    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = held.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    asked = asked.withColumn("tile", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(tiles)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = held.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     cell = ["tile", "shard", "dim"]
     lists = (
         asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(lambda q, s: search_tile(q, s, k), "query_id long, shard long, vec_id long, score long")
