@@ -224,3 +224,13 @@ def test_toxicity_put_in_letters(spark):
     assert got["table"] == got["window"] < toxicity.THRESHOLD
     assert [w for w in one if got[w] < toxicity.THRESHOLD] == []
     assert [w for w in more if got[w] <= got["table"]] == []
+
+
+def test_toxicity_joined_words(spark):
+    joined = ["you-are-idiot-please", "you/are/such/a/m0ron/today", "what,a,pathetic,thing", "https://www-site-idiot-com/a_b", "trash/person", "my\u00a0idiot\u00a0friend", "total\u2014clown\u2014indeed", "very_stupid_thing", "x2idiot2y", "some-scum-there"]
+    run_on = ["youareidiotplease", "whatastupidthingitisindeed", "suchaclownperson" * 4]
+    clean = ["you-are-friend-please", "https://www-site-window-com/a_b", "youarefriendplease", "my\u00a0good\u00a0friend"]
+    got = planted_scores(spark, joined + run_on + clean)
+    assert [w for w in joined if got[w] < toxicity.THRESHOLD] == []
+    assert [w for w in run_on if got[w] <= got["you-are-friend-please"]] == []
+    assert [w for w in clean if got[w] >= toxicity.THRESHOLD] == []

@@ -1,7 +1,8 @@
 """Toxicity scores from a support vector machine over a gap-weighted subsequence string kernel.
 
 A text is cut into sentences and those into units: words reduced to their letters (common digit-for-letter swaps undone,
-separators inside a word dropped, runs of single letters joined). The kernel compares two units by the three-letter
+separators inside a word dropped, runs of single letters joined), and the pieces of a word between its separators. Long
+units also count by short windows. The kernel compares two units by the three-letter
 subsequences they share, each weighing DECAY to the letters it spans (at most SPAN), so inserted letters and gaps lower
 the likeness a little instead of ending it. Nyström landmarks are units of the training texts: those most tied to toxic
 documents, and those of clean documents that are likest to them; a linear SVM is trained on the features they span.
@@ -37,6 +38,9 @@ POWER, LEAST = 2, 0.42
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 128
 #: Letters of a window, its two end marks included; a longer unit counts as its highest window.
 WINDOW, STRIDE = 26, 12
+#: Units of more letters than LONG, end marks included, also count by windows of SHORT letters, STEP apart, so that a word
+#: of five or six letters inside lies in one whole.
+LONG, SHORT, STEP = 11, 8, 3
 CODES = 64
 HARD_SENTENCES = 6
 THRESHOLD = 0.3
@@ -47,6 +51,8 @@ TIED = 20.0
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\W\d_][\x20\-._*]){2,}[^\W\d_](?![^\x20\x09-\x0D])")
+#: Parts of a word between separators, and its runs of letters.
+PIECE, RUN = re.compile(r"[^\W_@]+(?:@+[^\W_@]+)*"), re.compile(r"[^\W\d_]+")
 SWAPS = str.maketrans("013457@", "oieastA".lower())
 
 
@@ -61,6 +67,13 @@ def letters(word: str) -> str:
     return "".join(filter(str.isalpha, low))
 
 
+def forms(word: str) -> set[str]:
+    """The letters of a word as a whole, of its pieces between separators, and its runs of letters."""
+    if word.isalpha():
+        return {word.lower()}
+    return {letters(word), *map(letters, PIECE.findall(word)), *(r.lower() for r in RUN.findall(word))}
+
+
 def units(sentence: str) -> list[str]:
     """The words of a sentence, and runs of single letters joined."""
     found = WORD.findall(sentence)
@@ -68,7 +81,7 @@ def units(sentence: str) -> list[str]:
     return found + joined
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def codes(words: list[str], short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Windows of letter codes (0 pads) of reduced words between end marks, and the word that each window is of."""
     rows, owner = [], []
     for k, word in enumerate(words):
@@ -76,6 +89,11 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for start in range(0, max(1, len(marked) - STRIDE), STRIDE) if len(marked) > WINDOW else (0,):
             rows.append(marked[start : start + WINDOW])
             owner.append(k)
+        if short and len(marked) > LONG:
+            for start in range(0, len(marked) - SHORT + STEP, STEP):
+                at = min(start, len(marked) - SHORT)
+                rows.append(marked[at : at + SHORT])
+                owner.append(k)
     out = np.zeros((len(rows), WINDOW), np.int32)
     if rows:
         flat = np.frombuffer("".join(rows).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -103,7 +121,7 @@ class Landmarks:
     power of a kernel is a kernel."""
 
     def __init__(self, words: list[str], n_toxic: int | None = None):
-        windows, owner = codes([w[: WINDOW - 2] for w in words])
+        windows = codes([w[: WINDOW - 2] for w in words], short=False)[0]
         parts = [(code[there], np.nonzero(there)[0], weight) for code, there, weight in triples(windows)]
         known = np.unique(np.concatenate([p[0] for p in parts]))
         self.n_toxic = len(words) if n_toxic is None else n_toxic
@@ -128,25 +146,29 @@ class Landmarks:
     def kernel(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of (word numbers, kernel rows) of the windows that are like some toxic landmark; the others count as
         bare. Likeness is at most the sum over subsequences with the highest weight that a landmark gives each."""
-        by_length = np.argsort([len(w) for w in words], kind="stable")
         for start in range(0, len(words), 8192):
-            numbers = by_length[start : start + 8192]
-            windows, owner = codes([words[k] for k in numbers.tolist()])
-            windows = windows[:, : max(3, int((windows > 0).sum(1).max(initial=3)))]
-            bound, size = np.zeros(len(windows), np.float32), self.norms(windows)
-            for code, _, weight in triples(windows):
-                bound += np.float32(weight) * self.most[code].sum(1)
-            near = np.flatnonzero(bound >= LEAST * size)
-            for first in range(0, len(near), 512):
-                rows = near[first : first + 512]
-                like = np.zeros((len(rows), self.right.shape[1]), np.float32)
-                for code, _, weight in triples(windows[rows]):
-                    at = self.at[code]
-                    for k in range(at.shape[1]):
-                        like += np.float32(weight) * self.right[at[:, k]]
-                like /= size[rows][:, None]
-                some = np.flatnonzero(like[:, : self.n_toxic].max(1) >= LEAST)
-                yield numbers[owner[rows[some]]], np.where(like[some] >= LEAST, like[some], 0) ** POWER
+            every, owners = codes(words[start : start + 8192])
+            widths = (every > 0).sum(1)
+            by_length = np.argsort(widths, kind="stable")
+            for k in range(0, len(every), 8192):
+                part = by_length[k : k + 8192]
+                yield from self.block(every[part, : max(3, int(widths[part].max(initial=3)))], owners[part] + start)
+
+    def block(self, windows: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bound, size = np.zeros(len(windows), np.float32), self.norms(windows)
+        for code, _, weight in triples(windows):
+            bound += np.float32(weight) * self.most[code].sum(1)
+        near = np.flatnonzero(bound >= LEAST * size)
+        for first in range(0, len(near), 512):
+            rows = near[first : first + 512]
+            like = np.zeros((len(rows), self.right.shape[1]), np.float32)
+            for code, _, weight in triples(windows[rows]):
+                at = self.at[code]
+                for k in range(at.shape[1]):
+                    like += np.float32(weight) * self.right[at[:, k]]
+            like /= size[rows][:, None]
+            some = np.flatnonzero(like[:, : self.n_toxic].max(1) >= LEAST)
+            yield owner[rows[some]], np.where(like[some] >= LEAST, like[some], 0) ** POWER
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The kernel row of each word: that of the window which is likest to any landmark."""
@@ -175,10 +197,10 @@ class Scorer:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        fresh = {w: letters(w) for words in texts for w in words if w not in memo}
-        reduced = list(set(fresh.values()))
+        fresh = {w: forms(w) for words in texts for w in words if w not in memo}
+        reduced = list(set().union(*fresh.values()))
         value = dict(zip(reduced, self.evaluate(reduced), strict=True))
-        memo.update((w, value[x]) for w, x in fresh.items())
+        memo.update((w, max(map(value.__getitem__, x))) for w, x in fresh.items())
         return [list(map(memo.__getitem__, words)) for words in texts]
 
 
@@ -218,7 +240,7 @@ def train(sample: DataFrame) -> tuple:
             for flags, texts in row_chunks(batch, columns):
                 seen: dict[str, list[int]] = {"": [0, 0]}
                 for flag, text in zip(flags, texts, strict=True):
-                    for word in {"", *(letters(w)[: WINDOW - 2] for w in set(units(text)))}:
+                    for word in {"", *(x[: WINDOW - 2] for w in set(units(text)) for x in forms(w))}:
                         seen.setdefault(word, [0, 0])[flag] += 1
                 names = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[w][1] for w in names], pa.int64()), pa.array([seen[w][0] for w in names], pa.int64())], ["unit", "pos", "neg"])
@@ -247,7 +269,10 @@ def train(sample: DataFrame) -> tuple:
                     # Each sentence by its highest unit, and of a document the highest sentences.
                     cut = [units(s) for s in SENTENCE.findall(text)]
                     tops = [max(zip(v, w, strict=True)) for v, w in zip(first.values(cut), cut, strict=True) if w]
-                    tops = sorted({(v, letters(w)) for v, w in tops}, key=lambda x: (-x[0], x[1]))
+                    # A word stands for its highest form.
+                    made = [sorted(forms(w)) for _, w in tops]
+                    highest = [x[0] if len(x) == 1 else max(zip(v, x, strict=True))[1] for v, x in zip(first.values([x if len(x) > 1 else [] for x in made]), made, strict=True)]
+                    tops = sorted({(v, x) for (v, _), x in zip(tops, highest, strict=True)}, key=lambda x: (-x[0], x[1]))
                     out += [(flag, k == 0, unit) for k, (_, unit) in enumerate(tops[: 1 if flag else HARD_SENTENCES])]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.string())], ["toxic", "top", "unit"])
 
