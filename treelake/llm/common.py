@@ -37,6 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, many: int = 1 << 16) -> DataFrame:
+    """left joined (left outer) with right, whose keys are unique. Keys that more than ``many`` rows of left have, which are at
+    most rows / many, are joined by broadcast, so that none of them fills one task."""
+    hot = left.groupBy(key).count().filter((F.col("count") > many) & F.col(key).isNotNull()).select(key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return rest.unionByName(left.join(few, key))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

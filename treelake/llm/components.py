@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_unique, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         joined = left.join(parents.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
         moved = joined.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         edges = materialize(moved, "edges")
-        after = labels.join(parents.select(F.col("v").alias("label"), F.col("p").alias("to")), "label", "left")
+        after = join_unique(labels, parents.select(F.col("v").alias("label"), F.col("p").alias("to")), "label")
         labels = materialize(after.select("id", F.coalesce("to", "label").alias("label")), "labels")
     return labels
