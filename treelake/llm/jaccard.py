@@ -6,8 +6,8 @@ documents in 2 ** SKETCH_BITS hashed bins (any order gives right results; a rare
 hash. Two sets can only be similar enough if their prefixes in that order share an n-gram, so prefixes are exploded,
 n-grams in one set only are dropped (by a bit table; what it lets through finds no partner), and so are entries whose
 length and position no other entry of their group can meet. The sets that share an n-gram are compared under three
-filters: length, position of the shared n-gram, and signatures: parities of the sets' counts in hash bins, about one a
-n-gram, whose distance bounds what prefix and suffix can still have in common. Pairs that pass are verified exactly, once a
+filters: length, position of the shared n-gram, and signatures: parities of the sets' counts in hash bins, eight or more
+a n-gram up to MOST_BITS, whose distance bounds what prefix and suffix can still have in common. Pairs that pass are verified exactly, once a
 pair, on the texts.
 
 As only links that join components matter, it goes in two rounds. First each set is compared with those before it in a
@@ -139,8 +139,8 @@ def signature(found: np.ndarray, bits: int) -> bytes:
 
 
 def signature_bits(size: int) -> int:
-    """About one bit an n-gram, a power of 2, so unrelated sets differ in more bits than linked ones can."""
-    return min(MOST_BITS, max(64, 1 << (size - 1).bit_length()))
+    """Eight bits an n-gram or more, a power of 2, so that few differences fall together and hide each other."""
+    return min(MOST_BITS, max(512, 8 << (size - 1).bit_length()))
 
 
 def features(rows: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
