@@ -45,15 +45,20 @@ CODES = 64
 HARD_SENTENCES = 6
 THRESHOLD = 0.3
 MEMO = 400_000
-#: Likelihood ratio from which a unit counts as tied to toxic documents.
-TIED = 20.0
+#: Likelihood ratio from which a unit counts as tied to toxic documents; units of at least this share of the highest ratio
+#: also teach the gaps.
+TIED, SHARE = 20.0, 0.2
+#: Units as like as this to a landmark add little to it, so they are none.
+ALIKE = 0.75
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\W\d_][\x20\-._*]){2,}[^\W\d_](?![^\x20\x09-\x0D])")
 #: Parts of a word between separators, and its runs of letters.
 PIECE, RUN = re.compile(r"[^\W_@]+(?:@+[^\W_@]+)*"), re.compile(r"[^\W\d_]+")
-SWAPS = str.maketrans("013457@", "oieastA".lower())
+#: What is no part of a word at its ends.
+EDGE = "#*$%&|<>!?.,;:-_()[]{}\"'"
+SWAPS = str.maketrans("013457@", "oieasta")
 
 
 def letters(word: str) -> str:
@@ -61,7 +66,7 @@ def letters(word: str) -> str:
     low = word.lower()
     if low.isalpha():
         return low
-    low = low.strip("#*$%&|<>!?.,;:-_()[]{}\"'")
+    low = low.strip(EDGE)
     if any(c.isalpha() for c in low):
         low = low.translate(SWAPS)
     return "".join(filter(str.isalpha, low))
@@ -69,8 +74,9 @@ def letters(word: str) -> str:
 
 def forms(word: str) -> set[str]:
     """The letters of a word as a whole, of its pieces between separators, and its runs of letters."""
-    if word.isalpha():
-        return {word.lower()}
+    core = word.strip(EDGE)
+    if core.isalpha():
+        return {core.lower()}
     return {letters(word), *map(letters, PIECE.findall(word)), *(r.lower() for r in RUN.findall(word))}
 
 
@@ -132,6 +138,7 @@ class Landmarks:
         size = self.norms(windows)
         for code, row, weight in parts:
             np.add.at(self.right, (self.at[code], row), weight / size[row])
+        self.toxic_right, self.other_right = (np.ascontiguousarray(x) for x in np.split(self.right, [self.n_toxic], axis=1))
         self.most = np.zeros(CODES**3, np.float32)
         self.most[known] = self.right[:-1, : self.n_toxic].max(1)
 
@@ -161,14 +168,21 @@ class Landmarks:
         near = np.flatnonzero(bound >= LEAST * size)
         for first in range(0, len(near), 512):
             rows = near[first : first + 512]
-            like = np.zeros((len(rows), self.right.shape[1]), np.float32)
-            for code, _, weight in triples(windows[rows]):
-                at = self.at[code]
-                for k in range(at.shape[1]):
-                    like += np.float32(weight) * self.right[at[:, k]]
-            like /= size[rows][:, None]
-            some = np.flatnonzero(like[:, : self.n_toxic].max(1) >= LEAST)
-            yield owner[rows[some]], np.where(like[some] >= LEAST, like[some], 0) ** POWER
+            like = self.likeness(windows[rows], self.toxic_right) / size[rows][:, None]
+            some = np.flatnonzero(like.max(1) >= LEAST)
+            if len(some):
+                rest = self.likeness(windows[rows[some]], self.other_right) / size[rows[some]][:, None]
+                like = np.hstack([like[some], rest])
+                yield owner[rows[some]], np.where(like >= LEAST, like, 0) ** POWER
+
+    def likeness(self, windows: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Sums of the weights of each window's subsequences, of those that some landmark has."""
+        out = np.zeros((len(windows), right.shape[1]), np.float32)
+        for code, _, weight in triples(windows):
+            at = self.at[code]
+            for k in range(at.shape[1]):
+                out += np.float32(weight) * right[at[:, k]]
+        return out
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The kernel row of each word: that of the window which is likest to any landmark."""
@@ -212,6 +226,17 @@ def tied(positive: float, negative: float, n_positive: float, n_negative: float)
     return ratio if positive > both * share else -ratio
 
 
+def unlike(words: list[str]) -> list[str]:
+    """The words, in their order, without those that are ALIKE to one kept before them."""
+    if not words:
+        return []
+    rows, kept = Landmarks(words).rows(words) ** (1 / POWER), []
+    for k in range(len(words)):
+        if not kept or rows[k, kept].max() < ALIKE:
+            kept.append(k)
+    return [words[k] for k in kept]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, held_out, bound: int = SAMPLE_DOCS) -> DataFrame:
     """toxic, text of at most bound labelled documents that are not held out, the first by hash."""
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -251,9 +276,11 @@ def train(sample: DataFrame) -> tuple:
     if not n_pos or not n_neg:
         return empty
     ranked = sorted((-tied(r.pos, r.neg, n_pos, n_neg), r.unit) for r in counts if r.unit)
-    toxic = [u for value, u in ranked[:TOXIC_LANDMARKS] if -value >= TIED] or [u for _, u in ranked[:8]]
-    if not toxic:
+    tied_units = [(-value, u) for value, u in ranked[: 8 * TOXIC_LANDMARKS] if -value >= TIED] or [(-value, u) for value, u in ranked[:8]]
+    if not tied_units:
         return empty
+    toxic = unlike([u for _, u in tied_units])[:TOXIC_LANDMARKS]
+    strong = {u for value, u in tied_units if value >= SHARE * tied_units[0][0]}
     # Clean landmarks: the units of clean documents that are likest to toxic ones.
     plain = [(u, r) for r in counts if (u := r.unit) and r.neg >= 3 and r.neg * n_pos > r.pos * n_neg]
     near = Landmarks(toxic).rows([u for u, _ in plain]).max(1) if plain else []
@@ -282,7 +309,7 @@ def train(sample: DataFrame) -> tuple:
     rows = kernel.rows([p[2] for p in picked]).astype(float)
     # A toxic sentence that is like no landmark teaches nothing; distorted landmarks teach the gaps.
     use = np.array([p[0] == 0 or row[: len(toxic)].any() for p, row in zip(picked, rows, strict=True)])
-    spelled = [d for u in toxic[:48] for d in distorted(u)]
+    spelled = [d for u in toxic[:48] if u in strong for d in distorted(u)]
     if not use[[p[0] == 1 for p in picked]].any() or all(p[0] for p in picked):
         return empty
     sign = np.array([1.0 if p[0] else -1.0 for p in picked])
