@@ -92,6 +92,48 @@ def test_rename(spark, state):
     assert codes(got) == [code("FILE_NOT_EXISTS"), 0, 0, code("PATH_IS_INVALID")]
 
 
+def test_any_depth(spark, state):
+    """Paths of 1 to 7 parts, by default and with a given depth."""
+    deep = "/c" + "".join(f"/d{k}" for k in range(1, 7))
+    parents = [deep[: deep.index(f"/d{k}") + len(f"/d{k}")] if k else "/c" for k in range(7)]
+    result, directory, inode = N.mkdir(ask(spark, *parents[1:]), *state, 1000, now())
+    assert codes(result) == [0] * 6
+    got = N.resolve(ask(spark, *[p + "/x" for p in parents], deep.replace("/d5", "/no") + "/x"), directory).orderBy("req_id").collect()
+    opened = [r.st_ino for r in N.opendir(ask(spark, *parents), directory).orderBy("req_id").collect()]
+    assert [r.parent_id for r in got] == [*opened, None] and None not in opened and len(set(opened)) == 7
+    short = N.resolve(ask(spark, "/a/b/x", "/c/d1/d2/x", "/c/d1/d2/d3/x"), directory, depth=4).orderBy("req_id").collect()
+    assert [r.parent_id is None for r in short] == [False, False, True]
+    assert codes(N.opendir(ask(spark, "/c/d1", "/c/d1/d2"), directory, depth=2)) == [0, code("PATH_IS_INVALID")]
+    assert codes(N.mkdir(ask(spark, "/c/q", "/c/q/r"), *state, 1000, now(), depth=3)[0]) == [0, 0]
+    assert codes(N.mkdir(ask(spark, "/c/q", "/c/q/r"), *state, 1000, now(), depth=1)[0]) == [code("PATH_IS_INVALID")] * 2
+
+
+def test_shards_of_all_parts(spark):
+    shard_map = placement.build(spark, 37, 3)
+    points = sorted((r.range_point, r.server_id) for r in shard_map.collect())
+    hashes = {r.id: r.h for r in spark.range(8192).select("id", H.shard_hash(F.col("id")).alias("h")).collect()}
+    for row in placement.part_table(shard_map).collect():
+        assert (row.range_point, row.server_id) == next(p for p in points if p[0] >= hashes[row.part])
+
+
+def test_rename_to_another_server(spark, state):
+    directory, inode = state
+    inode = inode.withColumns({"etag": F.lit("old"), "update_version": F.lit(5).cast("long"), "backup_nodeid": F.lit(3)})
+    asked = spark.createDataFrame([(k, "/a/f", f"/c/name{k}") for k in range(1)], "req_id long, src string, dst string")
+    shard_map = placement.build(spark, 64, 64)
+    row = N.stat(ask(spark, "/c/name0"), *N.rename(asked, directory, inode, shard_map=shard_map)[1:]).first()
+    assert (row.etag, row.update_version, row.backup_nodeid, row.st_ino) == ("", 0, -1, 200 << 12)
+    row = N.stat(ask(spark, "/c/name0"), *N.rename(asked, directory, inode, shard_map=placement.build(spark, 64, 1))[1:]).first()
+    assert (row.etag, row.update_version, row.backup_nodeid) == ("old", 5, 3)
+
+
+def test_shared_update(spark, state):
+    inode = state[1]
+    changes = inode.select("parentid_partid", "name", F.lit(9).cast("int").alias("st_uid"), F.when(F.col("name") == "f", -1).otherwise(1).alias("nlink_change"))
+    after = {r.name: (r.st_uid, r.st_nlink) for r in N.update_rows(inode, changes, ["st_uid"], 0o100000).collect()}
+    assert after == {"g": (9, 2), "a": (0, 2), "b": (0, 2), "c": (0, 2)}
+
+
 def test_key_values(spark):
     kv = spark.createDataFrame([("k", 1, 1, [1], [2], [3])], KV_SCHEMA)
     put = spark.createDataFrame([(0, "k", 9, 1, [9], [9], [9]), (1, "n", 5, 1, [5], [5], [5]), (2, "n", 6, 1, [6], [6], [6])], f"req_id long, {KV_SCHEMA}")

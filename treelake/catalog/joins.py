@@ -21,13 +21,13 @@ def shards(spark):
 
 @query(B.with_(*B.NAMESPACE, body="SELECT req_id, parent_path IS NOT NULL AND path LIKE '/%' AS ok, CASE WHEN path LIKE '/%' THEN parent_id END AS parent_id FROM (SELECT r.req_id, r.path, t.path AS parent_path, t.inodeid AS parent_id FROM requests r LEFT JOIN tree t ON t.path = regexp_replace(rtrim(r.path, '/'), '/[^/]*$', ''))"))
 def join_path_resolve(spark, d):
-    rows = N.resolve(S.file_requests(spark, d), S.directories(spark, d), depth=4)
+    rows = N.resolve(S.file_requests(spark, d), S.directories(spark, d))
     return rows.select("req_id", F.col("parent_id").isNotNull().alias("ok"), "parent_id")
 
 
 @query(B.with_(B.DIRECTORY, B.FILES, B.part_hash(), SHARDS, body="SELECT st_ino, s.range_point, s.server_id FROM (SELECT st_ino, hash FROM files JOIN part_hash ON part = parentid_partid & 8191) f ASOF JOIN shard_map s ON f.hash <= s.range_point"))
 def join_shard_lookup(spark, d):
-    return placement.with_shard(S.files(spark, d).select("st_ino", "parentid_partid"), H.shard_hash(F.col("parentid_partid")), shards(spark)).select("st_ino", "range_point", "server_id")
+    return placement.with_shard(S.files(spark, d).select("st_ino", "parentid_partid"), H.part_of(F.col("parentid_partid")), shards(spark)).select("st_ino", "range_point", "server_id")
 
 
 RENEWED = "SELECT coalesce(lag(range_point) OVER (ORDER BY range_point) + 1, 0)::INTEGER AS range_min, range_point AS range_max, host, port, m.server_id FROM shard_map m LEFT JOIN servers s ON m.server_id = s.server_id"
@@ -87,7 +87,7 @@ def op_move_shard(spark, d):
     FROM (SELECT st_ino, hash FROM files JOIN part_hash ON part = parentid_partid & 8191) f ASOF JOIN shard_map s ON f.hash <= s.range_point"""))
 def sink_copy_binary(spark, d):
     """Where each file's row lies after two shards have moved."""
-    return placement.with_shard(S.files(spark, d).select("st_ino", "parentid_partid"), H.shard_hash(F.col("parentid_partid")), op_move_shard(spark, d)).select("st_ino", "server_id")
+    return placement.with_shard(S.files(spark, d).select("st_ino", "parentid_partid"), H.part_of(F.col("parentid_partid")), op_move_shard(spark, d)).select("st_ino", "server_id")
 
 
 @query(B.with_(SHARDS, body="""
@@ -104,13 +104,13 @@ def plan_rebalance(spark, d):
 
 @query(B.with_(*B.NAMESPACE, body="SELECT req_id, st_ino, st_size FROM located"))
 def join_req_inode(spark, d):
-    return N.with_inode(N.resolve(S.file_requests(spark, d), S.directories(spark, d), depth=4), S.inodes(spark, d)).select("req_id", "st_ino", "st_size")
+    return N.with_inode(N.resolve(S.file_requests(spark, d), S.directories(spark, d)), S.inodes(spark, d)).select("req_id", "st_ino", "st_size")
 
 
 @query(B.with_(*B.NAMESPACE, body="SELECT st_ino, parentid_partid, name FROM located WHERE error_code = 0"))
 def scan_index_eq(spark, d):
     """Inode rows by (parentid_partid, name), a batch of keys at a time."""
-    keys = N.resolve(S.file_requests(spark, d), S.directories(spark, d), depth=4).select(H.combine(F.col("parent_id"), H.part_id(F.col("name"))).alias("parentid_partid"), "name")
+    keys = N.resolve(S.file_requests(spark, d), S.directories(spark, d)).select(H.combine(F.col("parent_id"), H.part_id(F.col("name"))).alias("parentid_partid"), "name")
     return S.inodes(spark, d).join(keys, ["parentid_partid", "name"]).select("st_ino", "parentid_partid", "name")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..operators import namespace as N
 from ..operators import placement, records
-from ..schema import INODE_COLUMNS
+from ..schema import FILE_TYPE
 from ..sources import namespace as S
 from . import base as B
 from . import query
@@ -33,7 +33,7 @@ STAT = ", ".join(N.STAT_COLUMNS)
 
 @query(B.with_(*B.NAMESPACE, body=f"SELECT req_id, error_code, {STAT} FROM located"))
 def op_stat(spark, d):
-    return N.stat(some_requests(spark, d), *state(spark, d), depth=4)
+    return N.stat(some_requests(spark, d), *state(spark, d))
 
 
 @query(
@@ -44,7 +44,7 @@ def op_stat(spark, d):
     )
 )
 def op_open(spark, d):
-    return N.open_files(some_requests(spark, d), *state(spark, d), depth=4)
+    return N.open_files(some_requests(spark, d), *state(spark, d))
 
 
 def changed(rows: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,24 +54,24 @@ def changed(rows: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:
 @query(B.with_(*B.NAMESPACE, body=f"SELECT i.st_ino, CASE WHEN r.st_ino IS NULL THEN i.st_size ELSE r.req_id * 10 END::BIGINT AS st_size, CASE WHEN r.st_ino IS NULL THEN i.primary_nodeid ELSE 3 END::INTEGER AS primary_nodeid, CASE WHEN r.st_ino IS NULL THEN i.st_mtim ELSE TIMESTAMP '{NOW}' END AS st_mtim FROM inode i LEFT JOIN (SELECT * FROM located WHERE error_code = 0 AND req_id > 0) r ON i.st_ino = r.st_ino"))
 def op_close(spark, d):
     requests = some_requests(spark, d).filter("req_id > 0").withColumn("new_size", F.col("req_id") * 10).withColumn("node_id", F.lit(3))
-    return N.close(requests, *state(spark, d), now(), depth=4)[1].select("st_ino", "st_size", "primary_nodeid", "st_mtim")
+    return N.close(requests, *state(spark, d), now())[1].select("st_ino", "st_size", "primary_nodeid", "st_mtim")
 
 
 @query(B.with_(*B.NAMESPACE, body=f"SELECT i.st_ino, CASE WHEN r.st_ino IS NULL THEN i.st_atim WHEN r.req_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE make_timestamp(1609459200000000) END AS st_atim, CASE WHEN r.st_ino IS NULL THEN i.st_mtim WHEN r.req_id % 2 = 0 THEN TIMESTAMP '{NOW}' ELSE make_timestamp(1640995200000000) END AS st_mtim FROM inode i LEFT JOIN (SELECT * FROM located WHERE error_code = 0 AND req_id > 0) r ON i.st_ino = r.st_ino"))
 def op_utimens(spark, d):
     requests = some_requests(spark, d).filter("req_id > 0").withColumn("new_atim", F.when(F.col("req_id") % 2 == 0, -1).otherwise(1609459200000000).cast("long")).withColumn("new_mtim", F.lit(1640995200000000).cast("long"))
-    return N.utimens(requests, *state(spark, d), now(), depth=4)[1].select("st_ino", "st_atim", "st_mtim")
+    return N.utimens(requests, *state(spark, d), now())[1].select("st_ino", "st_atim", "st_mtim")
 
 
 @query(B.with_(*B.NAMESPACE, body="SELECT i.st_ino, CASE WHEN r.st_ino IS NULL THEN i.st_uid ELSE (r.req_id % 100) END::INTEGER AS st_uid, CASE WHEN r.st_ino IS NULL THEN i.st_gid ELSE 5 END::INTEGER AS st_gid FROM inode i LEFT JOIN (SELECT * FROM located WHERE error_code = 0 AND req_id > 0) r ON i.st_ino = r.st_ino"))
 def op_chown(spark, d):
     requests = some_requests(spark, d).filter("req_id > 0").withColumn("new_uid", (F.col("req_id") % 100).cast("int")).withColumn("new_gid", F.lit(5))
-    return N.chown(requests, *state(spark, d), depth=4)[1].select("st_ino", "st_uid", "st_gid")
+    return N.chown(requests, *state(spark, d))[1].select("st_ino", "st_uid", "st_gid")
 
 
 @query(B.with_(*B.NAMESPACE, body="SELECT i.st_ino, CASE WHEN r.st_ino IS NULL THEN i.st_mode ELSE (i.st_mode & ~511) | (384 & 511) END::INTEGER AS st_mode FROM inode i LEFT JOIN (SELECT * FROM located WHERE error_code = 0) r ON i.st_ino = r.st_ino"))
 def op_chmod(spark, d):
-    return N.chmod(some_requests(spark, d).withColumn("new_mode", F.lit(0o600)), *state(spark, d), depth=4)[1].select("st_ino", "st_mode")
+    return N.chmod(some_requests(spark, d).withColumn("new_mode", F.lit(0o600)), *state(spark, d))[1].select("st_ino", "st_mode")
 
 
 CREATE_SQL = """, wanted AS (
@@ -102,13 +102,13 @@ SELECT req_id, error_code, coalesce(old, made) AS st_ino, CASE WHEN made IS NOT
     CASE WHEN made IS NOT NULL AND old IS NULL THEN 0 ELSE s END::BIGINT AS st_size, CASE WHEN made IS NOT NULL AND old IS NULL THEN -1 ELSE n END::INTEGER AS primary_nodeid
 FROM coded LEFT JOIN fresh USING (path)""")
 def op_create(spark, d):
-    return N.create(create_requests(spark, d), *state(spark, d), 500_000_000, now(), depth=4)[0]
+    return N.create(create_requests(spark, d), *state(spark, d), 500_000_000, now())[0]
 
 
 @query(B.with_(*B.NAMESPACE, body="").rstrip() + CREATE_SQL + f"""
 SELECT st_ino, parentid_partid, name FROM inode UNION ALL SELECT made, {B.combine('parent', 'name')}, name FROM (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM fresh)""")
 def op_create_state(spark, d):
-    return N.create(create_requests(spark, d), *state(spark, d), 500_000_000, now(), depth=4)[1].select("st_ino", "parentid_partid", "name")
+    return N.create(create_requests(spark, d), *state(spark, d), 500_000_000, now())[1].select("st_ino", "parentid_partid", "name")
 
 
 MKDIR_SQL = """, wanted(req_id, path) AS (
@@ -133,19 +133,19 @@ def mkdir_requests(spark, d):
 
 @query(B.with_(B.DIRECTORY, body="").rstrip() + MKDIR_SQL + " SELECT req_id, error_code, CASE WHEN error_code = 0 THEN st_ino END AS st_ino FROM coded LEFT JOIN ids USING (path)")
 def op_mkdir(spark, d):
-    return N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now(), depth=3)[0]
+    return N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now())[0]
 
 
 @query(B.with_(B.DIRECTORY, body="").rstrip() + MKDIR_SQL + """
 SELECT * FROM directory UNION ALL SELECT CASE WHEN path LIKE '/asia/%/%' THEN p.st_ino ELSE (100 + 2) * 4096 END, regexp_extract(path, '[^/]*$'), i.st_ino
 FROM (SELECT * FROM coded WHERE error_code = 0) c JOIN ids i USING (path) LEFT JOIN ids p ON p.path = regexp_replace(c.path, '/[^/]*$', '')""")
 def op_mkdir_sub_mkdir(spark, d):
-    return N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now(), depth=3)[1]
+    return N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now())[1]
 
 
 @query(B.with_(*B.NAMESPACE, body="").rstrip() + MKDIR_SQL + " SELECT i.st_ino, 16877 AS st_mode, 2::BIGINT AS st_nlink, 0::BIGINT AS st_size FROM coded JOIN ids i USING (path) WHERE error_code = 0")
 def op_mkdir_sub_create(spark, d):
-    made = N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now(), depth=3)[2]
+    made = N.mkdir(mkdir_requests(spark, d), *state(spark, d), 900_000, now())[2]
     return made.filter(f"st_ino >= {900_000 << 12} and st_ino < {1_000_000 << 12} and st_mode = 16877 and st_ctim = timestamp_ntz'{NOW}'").select("st_ino", "st_mode", "st_nlink", "st_size")
 
 
@@ -163,12 +163,12 @@ UNLINK_SQL = """, wanted AS (
 
 @query(B.with_(*B.NAMESPACE, body="").rstrip() + UNLINK_SQL + " SELECT req_id, error_code, CASE WHEN error_code = 0 THEN st_ino END AS st_ino, CASE WHEN error_code = 0 THEN st_size END AS st_size, CASE WHEN error_code = 0 THEN primary_nodeid END AS primary_nodeid FROM coded")
 def op_unlink(spark, d):
-    return N.unlink(unlink_requests(spark, d), *state(spark, d), depth=4)[0]
+    return N.unlink(unlink_requests(spark, d), *state(spark, d))[0]
 
 
 @query(B.with_(*B.NAMESPACE, body="").rstrip() + UNLINK_SQL + " SELECT st_ino, name FROM inode WHERE st_ino NOT IN (SELECT st_ino FROM coded WHERE error_code = 0)")
 def op_unlink_state(spark, d):
-    return N.unlink(unlink_requests(spark, d), *state(spark, d), depth=4)[1].select("st_ino", "name")
+    return N.unlink(unlink_requests(spark, d), *state(spark, d))[1].select("st_ino", "name")
 
 
 SHARDED = (B.DIRECTORY, B.FILES, B.INODE, B.part_hash(), B.shard_map())
@@ -219,7 +219,7 @@ OPENDIR = "SELECT req_id, CASE WHEN path NOT LIKE '/%' THEN 1 WHEN t.inodeid IS
 
 @query(B.with_(B.DIRECTORY, B.TREE, DIR_REQUESTS, body=OPENDIR))
 def op_opendir(spark, d):
-    return N.opendir(dir_requests(spark, d), S.directories(spark, d), depth=3)
+    return N.opendir(dir_requests(spark, d), S.directories(spark, d))
 
 
 RMDIR = f"""coded AS (SELECT req_id, st_ino, CASE WHEN error_code <> 0 THEN error_code WHEN st_ino = 4096 THEN 2 WHEN st_ino IN (SELECT parent FROM inode) THEN 11 ELSE 0 END AS error_code FROM ({OPENDIR}))"""
@@ -236,17 +236,17 @@ EMPTIED = B.INODE.replace("inode AS (", "inode AS (SELECT * FROM (").rstrip(")")
 
 @query(B.with_(B.DIRECTORY, B.FILES, EMPTIED, B.TREE, DIR_REQUESTS, RMDIR, body="SELECT req_id, error_code FROM coded"))
 def op_rmdir(spark, d):
-    return N.rmdir(dir_requests(spark, d), *emptied(spark, d), depth=3)[0]
+    return N.rmdir(dir_requests(spark, d), *emptied(spark, d))[0]
 
 
 @query(B.with_(B.DIRECTORY, B.FILES, EMPTIED, B.TREE, DIR_REQUESTS, RMDIR, body="SELECT * FROM directory WHERE inodeid NOT IN (SELECT st_ino FROM coded WHERE error_code = 0)"))
 def op_rmdir_sub_rmdir(spark, d):
-    return N.rmdir(dir_requests(spark, d), *emptied(spark, d), depth=3)[1]
+    return N.rmdir(dir_requests(spark, d), *emptied(spark, d))[1]
 
 
 @query(B.with_(B.DIRECTORY, B.FILES, EMPTIED, B.TREE, DIR_REQUESTS, RMDIR, body="SELECT st_ino, name FROM inode WHERE st_ino NOT IN (SELECT st_ino FROM coded WHERE error_code = 0)"))
 def op_rmdir_sub_unlink(spark, d):
-    return N.rmdir(dir_requests(spark, d), *emptied(spark, d), depth=3)[2].select("st_ino", "name")
+    return N.rmdir(dir_requests(spark, d), *emptied(spark, d))[2].select("st_ino", "name")
 
 
 RENAMES = """wanted AS (
@@ -270,12 +270,12 @@ def rename_requests(spark, d):
 
 @query(B.with_(*B.NAMESPACE, RENAMES, body="SELECT req_id, error_code FROM coded"))
 def op_rename(spark, d):
-    return N.rename(rename_requests(spark, d), *state(spark, d), depth=4)[0]
+    return N.rename(rename_requests(spark, d), *state(spark, d))[0]
 
 
 @query(B.with_(*B.NAMESPACE, RENAMES, body=f"SELECT i.st_ino, coalesce(c.new_name, i.name) AS name, coalesce({B.combine('c.dst_parent', 'c.new_name')}, i.parentid_partid) AS parentid_partid, i.st_size FROM inode i LEFT JOIN (SELECT *, regexp_extract(dst, '[^/]*$') AS new_name FROM coded WHERE error_code = 0) c ON c.src_ino = i.st_ino"))
 def op_rename_local(spark, d):
-    return N.rename(rename_requests(spark, d), *state(spark, d), depth=4)[2].select("st_ino", "name", "parentid_partid", "st_size")
+    return N.rename(rename_requests(spark, d), *state(spark, d))[2].select("st_ino", "name", "parentid_partid", "st_size")
 
 
 @query(B.with_(*B.NAMESPACE, RENAMES, B.part_hash(), B.shard_map(), body=f"""
@@ -283,13 +283,11 @@ SELECT c.src_ino AS st_ino, '' AS etag, 0::BIGINT AS update_version, -1 AS backu
 JOIN part_hash a ON a.part = src_key & 8191 JOIN part_hash b ON b.part = c.to_part
 WHERE (SELECT arg_min(server_id, range_point) FROM shard_map WHERE range_point >= a.hash) <> (SELECT arg_min(server_id, range_point) FROM shard_map WHERE range_point >= b.hash)"""))
 def op_rename_create(spark, d):
-    """Rows that a rename takes to another server: their tag and version start anew."""
+    """Rows that a rename takes to another server: their tag and version start anew. Before it, every row has some."""
     dirs, inode = state(spark, d)
-    _, _, after = N.rename(rename_requests(spark, d), dirs, inode, depth=4)
-    shards = placement.build(spark, 50, 4)
-    owner = lambda rows, name: placement.with_shard(rows.select("st_ino", "parentid_partid"), H.shard_hash(F.col("parentid_partid")), shards).select("st_ino", F.col("parentid_partid").alias(f"k_{name}"), F.col("server_id").alias(name))
-    moved = owner(inode, "a").join(owner(after, "b"), "st_ino").filter("k_a <> k_b and a <> b")
-    return moved.select("st_ino", F.lit("").alias("etag"), F.lit(0).cast("long").alias("update_version"), F.lit(-1).alias("backup_nodeid"))
+    inode = inode.withColumns({"etag": F.concat(F.lit("e"), "name"), "update_version": F.lit(7).cast("long"), "backup_nodeid": F.lit(2)})
+    after = N.rename(rename_requests(spark, d), dirs, inode, shard_map=placement.build(spark, 50, 4))[2]
+    return after.filter("update_version = 0").select("st_ino", "etag", "update_version", "backup_nodeid")
 
 
 KV_REQUESTS = """wanted AS (
@@ -373,11 +371,12 @@ def win_id_range(spark, d):
     return op_fetch_slice_id(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("ranges"), (F.max("last") - F.min("first")).alias("width"), F.sum(F.col("last") - F.col("first")).alias("given"))
 
 
-@query(B.with_(*B.NAMESPACE, body="SELECT i.st_ino, CASE WHEN st_mode = 33188 AND st_ino % 3 = 0 THEN 0 ELSE st_size END::BIGINT AS st_size, CASE WHEN st_mode = 33188 AND st_ino % 3 = 0 THEN update_version + 1 ELSE update_version END::BIGINT AS update_version FROM inode i"))
+@query(B.with_(*B.NAMESPACE, body="""SELECT i.st_ino, CASE WHEN st_mode = 33188 AND st_ino % 3 = 0 THEN 0 ELSE st_size END::BIGINT AS st_size, CASE WHEN st_mode = 33188 AND st_ino % 3 = 0 THEN 2 ELSE st_nlink END::BIGINT AS st_nlink,
+    CASE WHEN st_mode = 33188 AND st_ino % 3 = 0 THEN update_version + 1 ELSE update_version END::BIGINT AS update_version FROM inode i WHERE NOT (st_mode = 33188 AND st_ino % 3 = 0 AND (st_ino // 4096) % 5 = 0)"""))
 def upd_inode(spark, d):
+    """New size and version for every third row if it is a file; of those, every fifth loses its last link, the others gain one."""
     inode = S.inodes(spark, d)
-    changes = S.files(spark, d).filter("st_ino % 3 = 0").select("parentid_partid", "name", F.lit(0).cast("long").alias("st_size"), (F.col("update_version") + 1).alias("update_version"))
-    return N.update_rows(inode, changes, ["st_size", "update_version"]).select("st_ino", "st_size", "update_version")
+    links = F.when((F.expr("st_ino div 4096") % 5 == 0) & (F.col("st_mode") == 33188), -1).otherwise(1)
+    changes = inode.filter("st_ino % 3 = 0").select("parentid_partid", "name", F.lit(0).cast("long").alias("st_size"), (F.col("update_version") + 1).alias("update_version"), links.alias("nlink_change"))
+    return N.update_rows(inode, changes, ["st_size", "update_version"], FILE_TYPE).select("st_ino", "st_size", "st_nlink", "update_version")
 
-
-assert INODE_COLUMNS

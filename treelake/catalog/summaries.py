@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -16,9 +19,12 @@ LOOKED_UP = "SELECT st_ino, st_size, s.range_point, s.server_id FROM (SELECT st_
 PLACED = (B.DIRECTORY, B.FILES, B.part_hash(), B.shard_map(), f"placed AS ({LOOKED_UP})")
 
 
+WORKERS = 4
+
+
 def placed(spark, d):
     rows = S.files(spark, d).select("st_ino", "st_size", "parentid_partid")
-    return placement.with_shard(rows, H.shard_hash(F.col("parentid_partid")), placement.build(spark, 50, 4)).select("st_ino", "st_size", "range_point", "server_id")
+    return placement.with_shard(rows, H.part_of(F.col("parentid_partid")), placement.build(spark, 50, WORKERS)).select("st_ino", "st_size", "range_point", "server_id")
 
 
 @query(B.with_(*PLACED, body="SELECT range_point, count(*) AS requests, min(st_ino) AS first, sum(st_size)::BIGINT AS bytes FROM placed GROUP BY 1"))
@@ -257,10 +263,11 @@ def join_self_2pc(spark, d):
     return some("k % 3 = 0").join(some("k % 2 = 0"), "gid", "left_semi").join(some("k % 5 <> 0 and k % 2 = 0"), "gid", "left_semi").join(some("k % 7 = 0"), "gid", "left_anti")
 
 
-@query(B.with_(*PLACED, body="SELECT st_ino, server_id FROM placed WHERE server_id IN (1, 2, 3)"))
+@query(B.with_(*PLACED, body="SELECT st_ino, server_id FROM placed"))
 def set_union_shards(spark, d):
+    """The listings of all servers of the map, one after another."""
     rows = placed(spark, d).select("st_ino", "server_id")
-    return rows.filter("server_id = 1").unionByName(rows.filter("server_id = 2")).unionByName(rows.filter("server_id = 3"))
+    return functools.reduce(DataFrame.unionByName, [rows.filter(F.col("server_id") == server) for server in range(1, WORKERS + 1)])
 
 
 assert formats

@@ -72,7 +72,7 @@ def scan_cache_dir(spark, d):
     return stores.cache_files(spark, d)
 
 
-@query()
+@query(f"SELECT *, (parentid_partid % 16)::INTEGER AS shard_id FROM (SELECT {B.combine('4096::BIGINT', 'name')} AS parentid_partid, name, unnest(['quality', 'toxic']) AS xKey, unnest([quality, toxic])::VARCHAR AS xValue FROM (SELECT 'doc_' || doc_id AS name, quality, toxic FROM labels))")
 def sink_ddl(spark, d):
     """An empty table a shard, as one partitioned table; what is written to it and read back."""
     return stores.partitioned_copy(S.xattrs(spark, d), stores.scratch(spark, f"ddl-{uuid.uuid4().hex}"), "parentid_partid")
@@ -113,12 +113,12 @@ WINDOWED = "SELECT time_bucket(INTERVAL '{s} seconds', ts) AS start, opcode, cou
 
 @query(B.with_(B.OPLOG, body=WINDOWED.format(s=60)))
 def st_tumble_60s(spark, d):
-    return windows.run(windows.tumbling(windows.read_events(spark, d), "60 seconds"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "opcode", "n", "last")
+    return windows.run(windows.tumbling(windows.read_events(spark, d), "60 seconds"), ["start", "opcode"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(B.with_(B.OPLOG, body=WINDOWED.format(s=1)))
 def st_tumble_1s(spark, d):
-    return windows.run(windows.tumbling(windows.read_events(spark, d), "1 second"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "opcode", "n", "last")
+    return windows.run(windows.tumbling(windows.read_events(spark, d), "1 second"), ["start", "opcode"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(B.with_(B.OPLOG, body="SELECT start, n, n - coalesce(lag(n) OVER (ORDER BY start), 0) AS change, n / 3600 AS per_second FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM oplog GROUP BY 1)"))
@@ -128,7 +128,7 @@ def st_rate(spark, d):
 
 @query(B.with_(B.OPLOG, body="SELECT client, opcode, min(event_id) AS first FROM oplog GROUP BY 1, 2"))
 def st_dedupe(spark, d):
-    return windows.run(windows.first_of_each(windows.read_events(spark, d)), "complete")
+    return windows.run(windows.first_of_each(windows.read_events(spark, d)), ["client", "opcode"])
 
 
 @query(B.with_(B.OPLOG, body="SELECT opcode, count(*) AS n, sum(event_id)::BIGINT AS total FROM oplog GROUP BY 1"))

@@ -22,18 +22,22 @@ def high32(x: Column) -> Column:
     return F.shiftrightunsigned(x, 32)
 
 
-def signed_bytes(text: Column, most: int | None = None) -> Column:
-    """The UTF-8 bytes of text, at most `most`, as signed numbers."""
-    digits = F.hex(F.encode(text, "UTF-8"))
+def fold_bytes(text: Column, first: Column, step, finish=None, most: int | None = None) -> Column:
+    """step(value, byte) over the UTF-8 bytes of text, at most `most`, as signed numbers. Read as Latin-1, every byte is one
+    character."""
     n = F.octet_length(text) if most is None else F.least(F.octet_length(text), F.lit(most))
-    byte = lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-    one = lambda i: let(byte(i), lambda b: F.when(b > 127, b - 256).otherwise(b))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<long>"))
+
+    def over(latin: Column) -> Column:
+        byte = lambda i: ((F.ascii(F.substring(latin, i, F.lit(1))) + 128).bitwiseAND(F.lit(255)) - 128).cast("long")
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, first, lambda value, i: step(value, byte(i)), finish)
+
+    return let(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), over)
 
 
 def part_id(name: Column) -> Column:
     """13-bit partition of a name: h * 31 + byte modulo 2 ** 16 over its first 256 bytes."""
-    return F.aggregate(signed_bytes(name, 256), F.lit(0).cast("long"), lambda h, b: (h * 31 + b).bitwiseAND(F.lit(0xFFFF))).bitwiseAND(F.lit(PART_MASK))
+    return fold_bytes(name, F.lit(0).cast("long"), lambda h, b: (h * 31 + b).bitwiseAND(F.lit(0xFFFF)), most=256).bitwiseAND(F.lit(PART_MASK))
 
 
 def combine(parent: Column, part: Column) -> Column:
@@ -113,7 +117,7 @@ def djb2(text: Column) -> Column:
         low = s["l"] * 33 + b
         return F.struct(low32(s["h"] * 33 + F.shiftright(low, 32)).alias("h"), low32(low).alias("l"))
 
-    return F.aggregate(signed_bytes(text), zero, step, lambda s: F.shiftleft(s["h"], 32).bitwiseOR(s["l"]))
+    return fold_bytes(text, zero, step, lambda s: F.shiftleft(s["h"], 32).bitwiseOR(s["l"]))
 
 
 def inode_id(seq: Column, node: Column) -> Column:

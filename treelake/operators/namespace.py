@@ -3,8 +3,9 @@
 Every operator takes the state (directory: parent_id, name, inodeid; inode: one row a file or directory) and requests with
 a req_id and a path, and returns one row a request with its error code; those that change the state also return it. Codes
 stand in a column and are never raised. Other result columns are null where the code isn't SUCCESS (CREATE gives the
-attributes of the file that was there). Nothing is collected; the one action is the depth of a batch's deepest path, where
-it isn't given.
+attributes of the file that was there). Paths have any number of parts; where a depth is given, longer ones are
+PATH_IS_INVALID. Nothing is collected. Paths are resolved a level at a time: each level joins the distinct prefixes of that
+length with the directories below the ones found before; every CUT levels the result is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,33 +16,60 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import paths as P
 from ..schema import DIR_MODE, DIR_TYPE, FILE_MODE, FILE_TYPE, INODE_COLUMNS, ROOT_ID, TYPE_MASK, lit_code
+from ..sources.stores import saved
 
+#: Levels of paths whose joins stay in one plan.
+CUT = 4
 STAT_COLUMNS = ["st_ino", "st_mode", "st_nlink", "st_uid", "st_gid", "st_size", "st_atim", "st_mtim", "st_ctim", "etag", "update_version", "primary_nodeid", "backup_nodeid"]
 
 
-def depth_of(requests: DataFrame, path: str = "path") -> int:
-    return requests.agg(F.coalesce(F.max(F.size(P.components(F.col(path)))), F.lit(0))).first()[0]
+def prefixes(parts: Column) -> Column:
+    """level, key, above, part of every prefix of the parts of a path, to be exploded; keys are parts joined by '/'."""
+    joined = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    each = lambda n: F.struct(n.alias("level"), joined(n).alias("key"), joined(n - 1).alias("above"), F.get(parts, n - 1).alias("part"))
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), each))
+
+
+def descend(steps: DataFrame, directory: DataFrame, settle) -> DataFrame:
+    """Goes down the prefixes (level, key, above, part, and further columns) from the root. settle makes key, at (its inode, null
+    where there is none) and further columns of a level from steps with parent (the inode above) and found (the directory's
+    inode or null); prefixes of what has no inode are left out."""
+    spark = steps.sparkSession
+    edges = directory.filter(F.col("parent_id") != 0).select(F.col("parent_id").alias("_from"), F.col("name").alias("_part"), F.col("inodeid").alias("found"))
+    steps = saved(steps, "prefixes")
+    deepest = steps.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    reached = spark.range(1).select(F.lit("").alias("_above"), F.lit(ROOT_ID).cast("long").alias("parent"))
+    out = None
+    for level in range(1, max(1, deepest) + 1):
+        here = steps.filter(F.col("level") == level).join(reached, F.col("above") == F.col("_above")).drop("_above")
+        done = settle(here.join(edges, (F.col("parent") == F.col("_from")) & (F.col("part") == F.col("_part")), "left").drop("_from", "_part"))
+        # The plan of a level holds those above it, so it is cut now and then.
+        done = saved(done, "level") if level % CUT == 0 else done
+        out = done if out is None else out.unionByName(done)
+        reached = done.filter("at is not null").select(F.col("key").alias("_above"), F.col("at").alias("parent"))
+    return out
 
 
-def walk(dirs: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
-    """Adds at: the inode that the parts in column parts lead to, from the root; null where one is missing. Each level is
-    one equi-join of the distinct paths with the directory table."""
-    edges = directory.filter(F.col("parent_id") != 0).select(F.col("parent_id").alias("_from"), F.col("name").alias("_part"), F.col("inodeid").alias("_to"))
-    out = dirs.withColumn("at", F.lit(ROOT_ID).cast("long"))
-    for level in range(depth):
-        part = F.get("parts", F.lit(level))
-        here = out.withColumn("_want", part)
-        joined = here.join(edges, (F.col("at") == F.col("_from")) & (F.col("_want") == F.col("_part")), "left")
-        out = joined.withColumn("at", F.when(F.size("parts") > level, F.col("_to")).otherwise(F.col("at"))).select(*dirs.columns, "at")
-    return out
+def walk(dirs: DataFrame, directory: DataFrame) -> DataFrame:
+    """Adds at: the inode that the parts in column parts lead to, from the root; null where one is missing."""
+    steps = dirs.select(F.explode(prefixes(F.col("parts"))).alias("s")).select("s.*").distinct()
+    reached = descend(steps, directory, lambda rows: rows.select("key", F.col("found").alias("at")))
+    root = F.when(F.size("parts") == 0, F.lit(ROOT_ID).cast("long"))
+    keyed = dirs.withColumn("_key", F.array_join("parts", "/")).join(reached.filter("at is not null").withColumnRenamed("key", "_reached"), F.col("_key") == F.col("_reached"), "left")
+    return keyed.withColumn("at", F.coalesce(root, "at")).drop("_key", "_reached")
+
+
+def fits(path: Column, depth: int | None) -> Column:
+    """Whether a path is well formed and not deeper than depth."""
+    fine = P.verify(path) == 0
+    return fine if depth is None else fine & (F.size(P.components(path)) <= depth)
 
 
 def resolve(requests: DataFrame, directory: DataFrame, depth: int | None = None, path: str = "path") -> DataFrame:
     """Adds name and parent_id (null where the parent can't be reached). Common directories are resolved once."""
-    depth = depth_of(requests, path) if depth is None else depth
-    keyed = requests.withColumn("_dir", F.when(P.verify(F.col(path)) == 0, P.directory_of(F.col(path)))).withColumn("name", P.base_name(F.col(path)))
+    keyed = requests.withColumn("_dir", F.when(fits(F.col(path), depth), P.directory_of(F.col(path)))).withColumn("name", P.base_name(F.col(path)))
     dirs = keyed.select("_dir").filter("_dir is not null").distinct().withColumn("parts", P.components(F.col("_dir")))
-    reached = walk(dirs, directory, max(0, depth - 1)).select("_dir", F.col("at").alias("parent_id"))
+    reached = walk(dirs, directory).select("_dir", F.col("at").alias("parent_id"))
     return keyed.join(reached, "_dir", "left").drop("_dir")
 
 
@@ -75,11 +103,20 @@ def open_files(requests: DataFrame, directory: DataFrame, inode: DataFrame, dept
     return rows.select("req_id", "error_code", "st_ino", "st_size", "st_nlink", "st_mode", "primary_nodeid", *zero.values(), F.when(ok, F.lit("")).alias("etag"))
 
 
-def update_rows(inode: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """inode with the given columns replaced for the rows that changes (parentid_partid, name, columns) names."""
-    new = changes.select(F.col("parentid_partid").alias("_key"), F.col("name").alias("_name"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in columns])
+def update_rows(inode: DataFrame, changes: DataFrame, columns: list[str], kind: int | None = None) -> DataFrame:
+    """The shared update: inode with the given columns replaced for the rows that changes (parentid_partid, name, columns, and
+    maybe nlink_change) names. A row whose links come to 0 goes; with a kind, other rows of another type stay as they are."""
+    links = "nlink_change" in changes.columns
+    extra = [F.col("nlink_change").cast("long").alias("_links")] if links else [F.lit(0).cast("long").alias("_links")]
+    new = changes.select(F.col("parentid_partid").alias("_key"), F.col("name").alias("_name"), F.lit(True).alias("_hit"), *extra, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = inode.join(new, (inode["parentid_partid"] == new["_key"]) & (inode["name"] == new["_name"]), "left")
-    return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in INODE_COLUMNS])
+    if links:
+        joined = joined.filter("_hit is null or st_nlink + _links <> 0")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    if kind is not None:
+        hit = hit & (F.col("st_mode").bitwiseAND(F.lit(TYPE_MASK)) == kind)
+    value = {c: F.col(f"_{c}") for c in columns} | ({"st_nlink": F.col("st_nlink") + F.col("_links")} if links else {})
+    return joined.select(*[F.when(hit, value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in INODE_COLUMNS])
 
 
 def update_attributes(requests: DataFrame, directory: DataFrame, inode: DataFrame, new: dict[str, Column], depth: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -159,32 +196,29 @@ def create(requests: DataFrame, directory: DataFrame, inode: DataFrame, first_id
 def mkdir(requests: DataFrame, directory: DataFrame, inode: DataFrame, first_id: int, now: Column, depth: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Level by level, so that directories of the batch can be parents of others in it. Ids go by path (parents first)
     from first_id, over the distinct paths of the batch. Returns results, directory, inode."""
-    depth = depth_of(requests) if depth is None else depth
-    bad = P.verify(F.col("path")) != 0
     parts = P.components(F.col("path"))
-    rows = requests.withColumn("_bad", bad).withColumn("_parts", parts).withColumn("_clean", F.concat(F.lit("/"), F.array_join(parts, "/")))
+    rows = requests.withColumn("_bad", ~fits(F.col("path"), depth)).withColumn("_parts", parts).withColumn("_clean", F.array_join(parts, "/"))
     wanted = rows.filter("not _bad and size(_parts) > 0").groupBy("_clean").agg(F.min("req_id").alias("_lead"), F.first("_parts").alias("_parts"))
-    wanted = numbered(wanted.withColumn("_sort", P.sort_key(F.col("_clean"))), ["_sort"], first_id)
-    state, made = directory, None
-    for level in range(1, depth + 1):
-        some = wanted.filter(F.size("_parts") == level).withColumn("parts", F.slice("_parts", 1, level - 1))
-        placed = walk(some, state, level - 1).withColumn("name", F.element_at("_parts", level))
-        there = state.filter("parent_id <> 0").select(F.col("parent_id").alias("_p"), F.col("name").alias("_n"), F.col("inodeid").alias("_old"))
-        joined = placed.join(there, (F.col("at") == F.col("_p")) & (F.col("name") == F.col("_n")), "left")
-        keyed = joined.withColumn("parentid_partid", H.combine(F.col("at"), H.part_id(F.col("name"))))
-        file = inode.select(F.col("parentid_partid").alias("_k"), F.col("name").alias("_f"))
-        keyed = keyed.join(file, (F.col("parentid_partid") == F.col("_k")) & (F.col("name") == F.col("_f")), "left")
-        code = F.when(F.col("at").isNull(), lit_code("PATH_IS_INVALID")).when(F.col("_old").isNotNull(), lit_code("PATH_EXISTS")).when(F.col("_k").isNotNull(), lit_code("FILE_EXISTS")).otherwise(lit_code("SUCCESS"))
-        done = keyed.withColumn("error_code", code).select("_clean", "_lead", "error_code", "at", "name", "st_ino", "parentid_partid")
-        state = state.unionByName(done.filter("error_code = 0").select(F.col("at").alias("parent_id"), "name", F.col("st_ino").alias("inodeid")))
-        made = done if made is None else made.unionByName(done)
-    if made is None:
-        made = wanted.select("_clean", "_lead", F.lit(0).alias("error_code"), F.lit(None).cast("long").alias("at"), F.lit("").alias("name"), "st_ino", F.lit(None).cast("long").alias("parentid_partid")).limit(0)
-    joined = rows.join(made.select("_clean", "_lead", F.col("error_code").alias("_code"), F.col("st_ino").alias("_ino")), "_clean", "left")
-    code = F.when(F.col("_bad"), lit_code("PATH_IS_INVALID")).when(F.size("_parts") == 0, lit_code("PATH_EXISTS"))
+    wanted = saved(numbered(wanted.withColumn("_sort", P.sort_key(F.col("_clean"))), ["_sort"], first_id), "wanted")
+    steps = wanted.select(F.explode(prefixes(F.col("_parts"))).alias("s")).select("s.*").distinct()
+    steps = steps.join(wanted.select(F.col("_clean").alias("key"), "_lead", "st_ino"), "key", "left")
+    file = inode.select(F.col("parentid_partid").alias("_k"), F.col("name").alias("_f"))
+
+    def settle(level: DataFrame) -> DataFrame:
+        keyed = level.withColumn("parentid_partid", H.combine(F.col("parent"), H.part_id(F.col("part"))))
+        keyed = keyed.join(file, (F.col("parentid_partid") == F.col("_k")) & (F.col("part") == F.col("_f")), "left")
+        code = F.when(F.col("found").isNotNull(), lit_code("PATH_EXISTS")).when(F.col("_k").isNotNull(), lit_code("FILE_EXISTS")).otherwise(lit_code("SUCCESS"))
+        code = F.when(F.col("_lead").isNotNull(), code)
+        return keyed.withColumn("error_code", code).select("key", F.coalesce("found", F.when(F.col("error_code") == 0, F.col("st_ino"))).alias("at"), "error_code", "_lead", "st_ino", "parent", F.col("part").alias("name"), "parentid_partid")
+
+    made = saved(descend(steps, directory, settle), "made")
+    fresh = made.filter("error_code = 0")
+    joined = rows.join(made.filter("error_code is not null").select(F.col("key").alias("_clean"), "_lead", F.col("error_code").alias("_code"), F.col("st_ino").alias("_ino")), "_clean", "left")
+    code = F.when(F.col("_bad"), lit_code("PATH_IS_INVALID")).when(F.size("_parts") == 0, lit_code("PATH_EXISTS")).when(F.col("_code").isNull(), lit_code("PATH_IS_INVALID"))
     code = code.when((F.col("_code") == 0) & (F.col("req_id") != F.col("_lead")), lit_code("PATH_EXISTS")).otherwise(F.col("_code"))
     result = joined.withColumn("error_code", code).select("req_id", "error_code", F.when(F.col("error_code") == 0, F.col("_ino")).alias("st_ino"))
-    return result, state, inode.unionByName(new_rows(made.filter("error_code = 0"), DIR_MODE, 2, now))
+    state = directory.unionByName(fresh.select(F.col("parent").alias("parent_id"), "name", F.col("st_ino").alias("inodeid")))
+    return result, state, inode.unionByName(new_rows(fresh, DIR_MODE, 2, now))
 
 
 def unlink(requests: DataFrame, directory: DataFrame, inode: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +240,7 @@ def readdir(dir_ids: DataFrame, inode: DataFrame, shard_map: DataFrame, most: in
     from .placement import with_shard
 
     rows = inode.withColumn("dir_id", H.parent_of(F.col("parentid_partid"))).join(dir_ids.select("dir_id"), "dir_id")
-    rows = with_shard(rows, H.shard_hash(F.col("parentid_partid")), shard_map)
+    rows = with_shard(rows, H.part_of(F.col("parentid_partid")), shard_map)
     order = "range_point, parentid_partid, name"
     if after is not None:
         point, key, name = after
@@ -218,10 +252,8 @@ def readdir(dir_ids: DataFrame, inode: DataFrame, shard_map: DataFrame, most: in
 
 def opendir(requests: DataFrame, directory: DataFrame, depth: int | None = None) -> DataFrame:
     """The inode of a directory path; PATH_NOT_EXISTS for any other."""
-    depth = depth_of(requests) if depth is None else depth
-    fine = P.verify(F.col("path")) == 0
-    rows = requests.withColumn("_fine", fine).withColumn("parts", P.components(F.col("path")))
-    reached = walk(rows.filter("_fine").select("parts").distinct(), directory, depth)
+    rows = requests.withColumn("_fine", fits(F.col("path"), depth)).withColumn("parts", P.components(F.col("path")))
+    reached = walk(rows.filter("_fine").select("parts").distinct(), directory)
     joined = rows.join(reached, "parts", "left").withColumn("at", F.when(F.col("_fine"), F.col("at")))
     code = F.when(~F.col("_fine"), lit_code("PATH_IS_INVALID")).when(F.col("at").isNull(), lit_code("PATH_NOT_EXISTS")).otherwise(lit_code("SUCCESS"))
     return joined.select("req_id", code.alias("error_code"), F.col("at").alias("st_ino"))
@@ -239,10 +271,20 @@ def rmdir(requests: DataFrame, directory: DataFrame, inode: DataFrame, depth: in
     return rows.select("req_id", "error_code"), directory.join(gone, "inodeid", "left_anti").select("parent_id", "name", "inodeid"), kept
 
 
-def rename(requests: DataFrame, directory: DataFrame, inode: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def placed(rows: DataFrame, key: str, shard_map: DataFrame, server: str) -> DataFrame:
+    """Adds the server of the shard of a (parent, part) key."""
+    from .placement import with_shard
+
+    return with_shard(rows, H.part_of(F.col(key)), shard_map).withColumnRenamed("server_id", server).drop("range_point")
+
+
+def rename(
+    requests: DataFrame, directory: DataFrame, inode: DataFrame, depth: int | None = None, shard_map: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Moves files and directories (src to dst); a directory keeps its id, so what is below it stays. Requests of a batch
-    are taken as independent: they see the state before it, and of several for one target the first by req_id wins.
-    Returns results, directory, inode."""
+    are taken as independent: they see the state before it, and of several for one target the first by req_id wins
+    (replay.py applies a log in order). With a shard map, a row that comes to another server is made anew there: its etag is
+    empty, its update_version 0 and its backup_nodeid -1. Returns results, directory, inode."""
     under = F.col("dst").startswith(F.concat(F.regexp_replace("src", "/$", ""), F.lit("/")))
     src = with_inode(resolve(requests.withColumn("path", F.col("src")), directory, depth), inode)
     src = src.select("req_id", "src", "dst", F.col("parent_id").alias("src_parent"), F.col("name").alias("src_name"), F.col("st_ino").alias("src_ino"), F.col("st_mode").alias("src_mode"))
@@ -256,7 +298,12 @@ def rename(requests: DataFrame, directory: DataFrame, inode: DataFrame, depth: i
         H.combine(F.col("parent_id"), H.part_id(F.col("name"))).alias("_to_key"), F.col("name").alias("_to"), F.col("parent_id").alias("_to_parent"), F.col("src_mode").alias("_mode"),
     )
     joined = inode.join(moved, (inode["parentid_partid"] == moved["_key"]) & (inode["name"] == moved["_name"]), "left")
-    new_inode = joined.select(*[F.coalesce(F.col({"name": "_to", "parentid_partid": "_to_key"}[c]), F.col(c)).alias(c) if c in ("name", "parentid_partid") else F.col(c) for c in INODE_COLUMNS])
+    value = {"name": F.coalesce("_to", "name"), "parentid_partid": F.coalesce("_to_key", "parentid_partid")}
+    if shard_map is not None:
+        joined = placed(placed(joined, "_key", shard_map, "_old_server"), "_to_key", shard_map, "_new_server")
+        anew = F.coalesce(F.col("_old_server") != F.col("_new_server"), F.lit(False))
+        value |= {c: F.when(anew, F.lit(v).cast(t)).otherwise(F.col(c)) for c, v, t in (("etag", "", "string"), ("update_version", 0, "long"), ("backup_nodeid", -1, "int"))}
+    new_inode = joined.select(*[value.get(c, F.col(c)).alias(c) for c in INODE_COLUMNS])
     dirs = moved.filter(F.col("_mode").bitwiseAND(F.lit(TYPE_MASK)) == DIR_TYPE)
     joined = directory.join(dirs, (directory["parent_id"] == dirs["_from"]) & (directory["name"] == dirs["_name"]), "left")
     new_directory = joined.select(F.coalesce("_to_parent", "parent_id").alias("parent_id"), F.coalesce("_to", "name").alias("name"), "inodeid")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import PART_MASK, hash32
+
 INT_MAX = (1 << 31) - 1
+#: Number of partition values.
+PARTS = PART_MASK + 1
 #: A shard map is broadcast only up to this many shards.
 MAX_SHARDS = 100_000
 
@@ -22,14 +26,22 @@ def ranges(shard_map: DataFrame) -> DataFrame:
     return shard_map.withColumn("range_min", F.expr("coalesce(lag(range_point) over (order by range_point) + 1, 0)"))
 
 
-def with_shard(rows: DataFrame, hashed: Column, shard_map: DataFrame) -> DataFrame:
-    """Adds range_point, server_id: the least range_point that is at least the hash. The map goes to all tasks, as one
-    sorted array of at most MAX_SHARDS points that each row searches."""
-    entry = F.struct("range_point", "server_id")
-    whole = shard_map.agg(F.array_sort(F.collect_list(entry)).alias("_map")).withColumn("_map", F.when(F.size("_map") <= MAX_SHARDS, F.col("_map")).otherwise(F.raise_error(F.lit("too many shards"))))
-    joined = rows.crossJoin(F.broadcast(whole)).withColumn("_hash", hashed)
-    hit = F.expr("filter(_map, s -> s.range_point >= _hash)[0]")
-    return joined.withColumn("_hit", hit).withColumn("range_point", F.col("_hit.range_point")).withColumn("server_id", F.col("_hit.server_id")).drop("_map", "_hash", "_hit")
+def part_table(shard_map: DataFrame) -> DataFrame:
+    """part, range_point, server_id for all PARTS partition values: the least range_point that is at least the part's hash.
+    The values and at most MAX_SHARDS points are ordered together in one task."""
+    points = shard_map.select(F.col("range_point").cast("long").alias("at"), F.lit(None).cast("int").alias("part"), F.struct("range_point", "server_id").alias("shard")).limit(MAX_SHARDS + 1)
+    parts = shard_map.sparkSession.range(PARTS).select(hash32(F.col("id")).alias("at"), F.col("id").cast("int").alias("part"), F.lit(None).cast(points.schema["shard"].dataType).alias("shard"))
+    # From the highest point down, so the point met last is the least one that is high enough.
+    met = F.expr("last(shard, true) over (order by at desc, part nulls first rows between unbounded preceding and current row)")
+    found = points.unionByName(parts).withColumn("met", met).withColumn("points", F.expr("count_if(part is null) over ()"))
+    small = F.when(F.col("points") <= MAX_SHARDS, F.col("part")).otherwise(F.raise_error(F.lit("too many shards")))
+    return found.filter("part is not null").select(small.alias("part"), "met.range_point", "met.server_id")
+
+
+def with_shard(rows: DataFrame, part: Column, shard_map: DataFrame) -> DataFrame:
+    """Adds range_point, server_id of the shard that holds the partition value; PARTS rows are broadcast, whatever the map."""
+    table = part_table(shard_map).withColumnRenamed("part", "_table_part")
+    return rows.withColumn("_part", part.cast("int")).join(F.broadcast(table), F.col("_part") == F.col("_table_part"), "left").drop("_part", "_table_part")
 
 
 def renew(shard_map: DataFrame, servers: DataFrame) -> DataFrame:

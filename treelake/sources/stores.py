@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where it's unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where it is unset, local sessions get a
+    temporary folder; on a cluster executors would not see one, so that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_treelake_scratch", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.sparkContext._treelake_scratch = tempfile.mkdtemp(prefix="spark-treelake-")
     return f"{found}/{name}"
 
 
+def saved(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table in the shared folder: later jobs neither recompute them nor need the executors that made them."""
+    path = scratch(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def cache_files(spark: SparkSession, folder: str) -> DataFrame:
     """file, size, atime, refs of all files under a folder, oldest first; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).drop("content")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.stores import scratch
 
@@ -23,7 +24,7 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tumbling(log: DataFrame, length: str) -> DataFrame:
-    """Counts per window and opcode; late rows count for an hour."""
+    """Counts per window and opcode; rows that are more than an hour late are dropped with their window's state."""
     rows = log.withWatermark("ts", "1 hour").groupBy(F.window("ts", length), "opcode").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
     return rows.select(F.col("window.start").alias("start"), "opcode", "n", "last")
 
@@ -33,17 +34,21 @@ def first_of_each(log: DataFrame) -> DataFrame:
     return log.groupBy("client", "opcode").agg(F.min("event_id").alias("first"))
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and returns its last result, written to the shared folder by each batch."""
+def run(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs an aggregating stream over what is there now, in update mode, so that the watermark ends the state of old windows.
+    Each batch writes the rows it changed to the shared folder (again, if it is repeated); of each key the last row counts."""
     spark = stream.sparkSession
     path = scratch(spark, f"stream-{uuid.uuid4().hex}")
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
 
-    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
+    started = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
     started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(schema).parquet(f"{path}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])
 
 
 def micro_batches(log: DataFrame) -> DataFrame:
@@ -76,4 +81,4 @@ def apply_log(log: DataFrame) -> DataFrame:
     state = log.groupBy("client").agg(
         F.max_by("opcode", "event_id").alias("last_op"), F.max("event_id").alias("last_event"), (F.count_if(F.col("opcode") == 4) - F.count_if(F.col("opcode") == 8)).alias("balance"),
     )
-    return run(state, "complete")
+    return run(state, ["client"])
