@@ -48,6 +48,18 @@ def test_small_chunks(documents, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in suffix.removal_report(documents(rows)).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_ids(documents, parts):
+    """Rows of one id with other texts keep their own bytes; repeated rows are one document."""
+    random.seed(9)
+    long = "".join(random.choice("abcdefghij") for _ in range(400))
+    rows = [(1, long), (5, "short"), (5, long), (5, "other " + long[:150]), (7, "y" + long[200:]), (7, "y" + long[200:]), (None, long[50:300]), (None, "z")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.removal_report(documents(rows).repartition(parts)).collect()), key=str)
+    # The row without an id comes first, so that its bytes are the earliest.
+    inside = 250
+    assert got == sorted([(1, 400, inside), (5, 5, 0), (5, 400, 400), (5, 156, 150), (7, 201, 200), (7, 201, 200), (None, 250, 0), (None, 1, 0)], key=str)
+
+
 def test_odd_and_empty(odd, empty):
     got = suffix.removal_report(odd).collect()
     assert len(got) == 10 and sum(r.doc_id == 7 for r in got) == 2

@@ -19,8 +19,9 @@ Which anchor strings occur twice is told to the tasks by a bit table of fixed si
 by accident is settled by the exact steps after it.
 
 Null texts count as empty; texts under LENGTH bytes keep everything unless repeats cover them, which they can't. Very long
-texts are cut into pieces that overlap by LENGTH - 1 bytes, which changes nothing. Rows of one doc_id count as one
-document. An empty table gives an empty result. Extra columns are not used.
+texts are cut into pieces that overlap by LENGTH - 1 bytes, which changes nothing. Rows of one doc_id with the same text are
+one document; those with other texts are documents of their own, which come one after another by the hash of their text, as
+do rows without a doc_id, before all others. An empty table gives an empty result. Extra columns are not used.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ HOT = 20_000
 #: Bytes of text handled at once; longer texts are cut into pieces of this size.
 CHUNK = 1 << 21
 BLOCK_ROWS = 30_000
+#: Bits of a place inside a text; a version, of 31 bits, stands above them.
+VERSION_SHIFT = 32
 #: Stands for a null doc_id, which comes before all others.
 NULL_ID = -(1 << 62)
 
@@ -51,20 +54,21 @@ NULL_ID = -(1 << 62)
 NUMBERS = ["gram", "context", "doc_id", "place", "back", "front"]
 
 
-def pieces(ids: list, texts: list[str]) -> tuple[list, list[int], list[bytes]]:
-    """doc_id, offset and bytes of each piece."""
+def pieces(ids: list, versions: list[int], texts: list[str]) -> tuple[list, list[int], list[bytes]]:
+    """doc_id, offset and bytes of each piece. Offsets of a row start at its version << VERSION_SHIFT, so rows of one doc_id
+    with other texts are told apart, and come one after another."""
     out_ids, offsets, parts = [], [], []
-    for doc, text in zip(ids, texts, strict=True):
+    for doc, version, text in zip(ids, versions, texts, strict=True):
         raw = text.encode()
         for at in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
             out_ids.append(doc)
-            offsets.append(at)
+            offsets.append((version << VERSION_SHIFT) + at)
             parts.append(raw[at : at + CHUNK + LENGTH - 1])
     return out_ids, offsets, parts
 
 
-def chunk_anchors(ids: list, texts: list[str]):
-    names, offsets, parts = pieces(ids, texts)
+def chunk_anchors(ids: list, versions: list[int], texts: list[str]):
+    names, offsets, parts = pieces(ids, versions, texts)
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     data = np.frombuffer(b"".join(parts), np.uint8)
     document, place, first, last, gram = anchors(data, bounds, LENGTH, GRAM)
@@ -95,8 +99,8 @@ def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 def repeated_grams(rows: DataFrame) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in row_chunks(batch, ["doc_id", "text"], CHUNK):
-                gram = chunk_anchors(ids, texts)[6]
+            for ids, versions, texts in row_chunks(batch, ["doc_id", "version", "text"], CHUNK):
+                gram = chunk_anchors(ids, versions, texts)[6]
                 found, counts = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int8))], ["gram", "n"])
 
@@ -132,8 +136,8 @@ def task_leads(batches: Iterable[pa.RecordBatch], table: np.ndarray):
     front, first and last window (in data), and whether each is the task's lead of its context."""
     met = Leads()
     for batch in batches:
-        for ids, texts in row_chunks(batch, ["doc_id", "text"], CHUNK):
-            names, data, document, place, first, last, gram, shift = chunk_anchors(ids, texts)
+        for ids, versions, texts in row_chunks(batch, ["doc_id", "version", "text"], CHUNK):
+            names, data, document, place, first, last, gram, shift = chunk_anchors(ids, versions, texts)
             some = np.flatnonzero(is_set(table, slot(gram)))
             if not len(some):
                 continue
@@ -199,15 +203,17 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[tuple[
         return (doc, start), stop
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
-    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    base = start >> VERSION_SHIFT << VERSION_SHIFT
+    low, high = start - base, stop - base
+    new_doc = np.concatenate([[True], (doc[1:] != doc[:-1]) | (base[1:] != base[:-1])])
     # Stops rise with starts inside a document up to nesting; a running maximum by document number keeps them apart.
     number = np.cumsum(new_doc)
-    base = int(stop.max()) + 1
-    reach = np.maximum.accumulate(number * base + stop) - number * base
+    step = int(high.max()) + 1
+    reach = np.maximum.accumulate(number * step + high) - number * step
     new = new_doc.copy()
-    new[1:] |= start[1:] > reach[:-1]
+    new[1:] |= low[1:] > reach[:-1]
     heads = np.flatnonzero(new)
-    return (doc[heads], start[heads]), reach[np.concatenate([heads[1:], [len(doc)]]) - 1]
+    return (doc[heads], start[heads]), (reach + base)[np.concatenate([heads[1:], [len(doc)]]) - 1]
 
 
 def repeats_in_groups(gram, context, doc, place, back, front, byte: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,9 +324,16 @@ def window_repeats(found: DataFrame) -> DataFrame:
     return again.select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """doc_id, version (31 bits of the text's hash), text."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 33).alias("version"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (bytes, overlapping spans not yet joined) of all repeats in docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id, start, stop (bytes from version << VERSION_SHIFT on, overlapping spans not yet joined) of all repeats in docs
+    (doc_id, text)."""
+    rows = versioned(docs)
     found = materialize(repeated_anchors(rows, repeated_grams(rows)), "anchors")
     entries = found.filter("gram is not null")
     # Contexts that occurred before, whole.
@@ -345,10 +358,12 @@ def joined_spans(starts: list[int], stops: list[int]) -> tuple[np.ndarray, np.nd
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and starts, stops (arrays or null) of every row of docs."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("span_doc")), "left").select("doc_id", "text", "starts", "stops")
+    keyed = repeated_spans(docs).withColumn("version", F.shiftright("start", VERSION_SHIFT))
+    base = F.shiftleft("version", VERSION_SHIFT)
+    spans = keyed.groupBy("doc_id", "version").agg(F.collect_list(F.struct((F.col("start") - base).alias("start"), (F.col("stop") - base).alias("stop"))).alias("spans"))
+    named = spans.select(F.col("doc_id").alias("span_doc"), F.col("version").alias("span_version"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    rows = versioned(docs)
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("span_doc")) & (F.col("version") == F.col("span_version")), "left").select("doc_id", "text", "starts", "stops")
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
