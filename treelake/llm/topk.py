@@ -8,7 +8,7 @@ a query.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. A query meets
 candidates of its own dimension only, and no row of its own id. Repeated rows of an id are separate candidates; repeated
-query rows share one result list. Fewer candidates than k give all of them; an empty table gives an empty result. Extra
+query rows share one result list. Components may be any finite doubles. Fewer candidates than k give all of them; an empty table gives an empty result. Extra
 columns are not used. Scores are exact integers, held at 63 bits
 where they would pass them.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 SCALE = 1024
 K = 10
-TILE = 1024
+#: Queries of a tile and candidates of a shard. All candidates are sent once a tile and all queries once a shard, so larger
+#: ones move less; a task holds one of each.
+TILE = 8192
 SHARD = 16_384
 #: Columns of one matrix product; best() has room for so many beside the score.
 PIECE = 1 << 16
@@ -51,12 +53,17 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer-valued rows: in float64 where no sum can reach 2**53, else in Python integers."""
+    """Exact inner products of the rows of a and b, each component x being floor(SCALE * x): in float64 where no sum can reach
+    2**53, else in Python integers, which also hold what SCALE takes beyond the largest double."""
     if a.shape[1] == 0:
         return np.zeros((len(a), len(b)))
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2.0**53:
-        return a @ b.T
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    with np.errstate(over="ignore", invalid="ignore"):
+        left, right = np.floor(a * SCALE), np.floor(b * SCALE)
+        if np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * a.shape[1] < 2.0**53:
+            return left @ right.T
+    # A double of 2**53 or more is a whole number.
+    one = lambda x: int(x) * SCALE if abs(x) >= 2.0**53 else int(np.floor(x * SCALE))
+    whole = lambda m: np.array([[one(x) for x in row] for row in m.tolist()], object).reshape(m.shape)
     return np.clip(whole(a) @ whole(b).T, -MOST, MOST)
 
 
@@ -74,10 +81,10 @@ def search_piece(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataF
     if len(queries) and len(shard):
         shard = shard.sort_values("vec_id", kind="stable")
         ids = shard["vec_id"].to_numpy(np.int64)
-        right = np.floor(np.stack(shard["vec"].to_numpy()) * SCALE)
+        right = np.stack(shard["vec"].to_numpy())
         for start in range(0, len(queries), 128):
             part = queries.iloc[start : start + 128]
-            left = np.floor(np.stack(part["vec"].to_numpy()) * SCALE)
+            left = np.stack(part["vec"].to_numpy())
             scores = product(left, right)
             own = part["vec_id"].to_numpy(np.int64)[:, None] == ids
             # Rows of the query's own id go behind all others.
