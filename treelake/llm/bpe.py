@@ -4,10 +4,11 @@ Every match of the split pattern is encoded by itself. Pieces that are not in th
 batches: each piece has a segment tree over its byte positions whose nodes hold the least (pair rank, position), so the
 root names the leftmost pair of least rank. A merge changes three leaves (the merged position, its live left neighbour
 and the consumed position) and their ancestors, hence costs O(log n). All pieces of a batch that still have a pair to
-merge take their next merge together, as numpy operations over one array of trees.
+merge take their next merge together, as numpy operations over one array of trees. A very long piece has a tree of its own
+and merges all pairs of the least rank together.
 
-Null texts count as empty; an empty text has no tokens. Repeated rows give repeated results. Extra columns pass through
-``encode_documents`` untouched.
+Null texts count as empty; an empty text has no tokens. Repeated rows give repeated results, an empty table an empty one.
+Extra columns pass through ``encode_documents`` untouched, but for those named like what it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ NONE = np.int64(1) << 62
 MEMO = 100_000
 #: Tree leaves handled at once.
 LEAVES = 1 << 19
+#: Pieces of more bytes are merged by themselves, a rank at a time.
+LONG = 2048
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +101,10 @@ class Encoder:
         out: list[bytes] = [b""] * len(pieces)
         groups: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
-            groups.setdefault(max(1, (len(piece) - 1).bit_length()), []).append(k)
+            if len(piece) > LONG:
+                out[k] = self._merge_long(piece)
+            else:
+                groups.setdefault(max(1, (len(piece) - 1).bit_length()), []).append(k)
         for height, members in groups.items():
             step = max(1, LEAVES >> height)
             for start in range(0, len(members), step):
@@ -149,6 +155,63 @@ class Encoder:
         ends = np.cumsum(counts) * 4
         return [data[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """One long piece. The root names the least rank; all its pairs, found by going down the tree, are merged together from
+        left to right, up to the first that makes a pair of lower rank, which has to come next."""
+        n = len(piece)
+        height = max(1, (n - 1).bit_length())
+        width = 1 << height
+        ids = np.full(width + 1, -1, np.int32)
+        ids[:n] = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        after = np.minimum(np.arange(1, width + 2), width).astype(np.int32)
+        before = np.arange(-1, width, dtype=np.int32)
+        tree = np.full(2 * width, NONE, np.int64)
+        tree[width : width + n - 1] = self._leaves(ids, after, np.arange(n - 1))
+        for level in range(height - 1, -1, -1):
+            low = 1 << level
+            tree[low : 2 * low] = np.minimum(tree[2 * low : 4 * low : 2], tree[2 * low + 1 : 4 * low : 2])
+        while tree[1] < NONE:
+            rank = int(tree[1] >> 32)
+            nodes = np.ones(1, np.int64)
+            for _ in range(height):
+                nodes = np.column_stack((2 * nodes, 2 * nodes + 1)).ravel()
+                nodes = nodes[tree[nodes] >> 32 == rank]
+            at = nodes - width
+            # Of pairs that overlap in a run, every second one goes.
+            linked = np.concatenate([[False], at[1:] == after[at[:-1]]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 0]
+            gone = after[at]
+            following = after[gone]
+            left = ids[before[at]].astype(np.int64)
+            left[before[at] < 0] = -1
+            left[1:][before[at[1:]] == gone[:-1]] = rank
+            right = ids[following].astype(np.int64)
+            low = np.zeros(len(at), bool)
+            for a, b in ((left, np.full(len(at), rank)), (np.full(len(at), rank), right)):
+                ranks = self.pairs.ranks(np.maximum(a, 0), np.maximum(b, 0))
+                low |= (a >= 0) & (b >= 0) & (ranks >= 0) & (ranks < rank)
+            if low.any():
+                stop = int(np.argmax(low)) + 1
+                at, gone, following = at[:stop], gone[:stop], following[:stop]
+            ids[at], ids[gone] = rank, -1
+            after[at], before[following] = following, at
+            previous = before[at]
+            fresh = np.concatenate([at, previous[previous >= 0]])
+            tree[width + gone.astype(np.int64)] = NONE
+            tree[width + fresh.astype(np.int64)] = self._leaves(ids, after, fresh)
+            nodes = np.unique(np.concatenate([fresh, gone])).astype(np.int64) + width
+            for _ in range(height):
+                nodes = nodes >> 1
+                nodes = nodes[np.concatenate([[True], nodes[1:] != nodes[:-1]])]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+        return ids[ids >= 0].astype("<u4").tobytes()
+
+    def _leaves(self, ids: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray:
+        left, right = ids[at].astype(np.int64), ids[after[at]].astype(np.int64)
+        ranks = np.where((left >= 0) & (right >= 0), self.pairs.ranks(np.maximum(left, 0), np.maximum(right, 0)), -1)
+        return np.where(ranks >= 0, ranks << 32 | at, NONE)
+
     def _refresh(self, tree, height, rows, at, ids, after, width):
         following = np.minimum(after[rows, at], width)
         right = ids[rows, following]
@@ -208,9 +271,9 @@ def broadcast_ranks(spark: SparkSession, path: str):
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ids (array of int) and decoded (binary) to docs; both names must be free."""
+    """Adds ids (array of int) and decoded (binary) to docs; columns of docs that have these names are replaced."""
     vocabulary, key = broadcast_ranks(docs.sparkSession, path)
-    columns = [c for c in docs.columns if c != text] + [text]
+    columns = [c for c in docs.columns if c not in (text, "ids", "decoded")] + [text]
     fields = [docs.schema[c].simpleString().split(":", 1) for c in columns]
     schema = ", ".join(f"`{a}` {b}" for a, b in fields) + ", ids array<int>, decoded binary"
 
