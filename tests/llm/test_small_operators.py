@@ -34,6 +34,43 @@ def test_flow_prefers_first_passes():
     assert flow[("a",)] == {"a": 25}
 
 
+def test_flow_against_brute_force():
+    """Of all flows the one that fills most, then costs least; pass k over a pattern costs k * k a token."""
+    capacity, quota, passes = {("a",): 2, ("a", "b"): 2, ("b", "c"): 1}, {"a": 5, "b": 4, "c": 2}, 2
+    arcs = [(p, s) for p in capacity for s in p]
+    best = None
+    for amounts in itertools.product(*[range(min(passes * capacity[p], quota[s]) + 1) for p, s in arcs]):
+        into, out = Counter(), Counter()
+        for (p, s), n in zip(arcs, amounts, strict=True):
+            into[s] += n
+            out[p] += n
+        if all(into[s] <= quota[s] for s in quota) and all(out[p] <= passes * capacity[p] for p in capacity):
+            cost = sum(k * k * max(0, min(capacity[p], out[p] - k * capacity[p])) for p in capacity for k in range(passes))
+            best = min(best or (0, 0), (-sum(amounts), cost))
+    flow = mixing.routed(capacity, quota, passes)
+    out = {p: sum(flow[p].values()) for p in capacity}
+    cost = sum(k * k * max(0, min(capacity[p], out[p] - k * capacity[p])) for p in capacity for k in range(passes))
+    assert (-sum(out.values()), cost) == best
+    assert len(mixing.parts_of([("a",), ("a", "b"), ("c",), (None,), (None, "c")])) == 2
+
+
+def test_plan_of_two_sources(spark):
+    """Documents of two sources fill both quotas; each pattern takes what the flow routes through it."""
+    kinds = [["a"], ["b"], ["a", "b"], ["c", None]]
+    rows = [(kinds[k % 4], k % 9 + 1, k * 7919 % 1009 << 40) for k in range(400)]
+    chosen, sizes, target = mixing.plan(spark.createDataFrame(rows, "pattern array<string>, size long, draw long"))
+    capacity = Counter()
+    for p, n, _ in rows:
+        capacity[tuple(p)] += n
+    assert sizes["a"] == capacity["a",] + capacity["a", "b"]
+    flow = mixing.min_cost_flow(capacity, {s: round(t) for s, t in target.items()})
+    taken = Counter()
+    for r in chosen.collect():
+        assert r.copies <= 3
+        taken[tuple(r.pattern)] += r.size * r.copies
+    assert all(abs(taken[p] - sum(flow[p].values())) <= 9 for p in capacity)
+
+
 def test_mix(documents, odd, empty):
     rows = documents([(k, "w " * (k % 50 + 1)) for k in range(600)]).withColumn("source", F.when(F.col("doc_id") < 300, F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).when(F.col("doc_id") < 580, "hot"))
     got = mixing.mix_report(rows).toPandas()
@@ -93,14 +130,24 @@ def test_secrets(documents, odd, empty, tmp_path):
     assert texts[4] == "[SECRET]" and texts[99] is None and "hunter22" not in texts[0]
 
 
-def test_ledger(spark, documents, tmp_path):
+def test_ledger(spark, documents, tmp_path, monkeypatch):
+    """Only unseen pairs of blob and rule version are scanned; findings reach all paths."""
     ledger = str(tmp_path / "ledger")
     first = documents([(1, SECRETS[0]), (2, SECRETS[0]), (3, "clean")])
+    assert secret_scan.unseen_blobs(first, ledger).count() == 2
     assert Counter(len(r.spans) for r in secret_scan.scan(first, ledger).collect()) == {1: 2, 0: 1}
-    assert spark.read.parquet(ledger).count() == 1
-    second = documents([(4, SECRETS[0]), (5, SECRETS[2])])
+    assert spark.read.parquet(ledger).count() == 2 and secret_scan.unseen_blobs(first, ledger).count() == 0
+    second = documents([(4, SECRETS[0]), (5, SECRETS[2]), (6, "clean"), (7, None)])
+    assert secret_scan.unseen_blobs(second, ledger).count() == 2
     assert secret_scan.scan(second, ledger).filter("size(spans) > 0").count() == 2
-    assert spark.read.parquet(ledger).count() == 2
+    assert spark.read.parquet(ledger).count() == 4
+    # New rules scan all blobs anew, beside what the old ones found.
+    assert secret_scan.unseen_blobs(second, ledger, rule_version="next").count() == 4
+    secret_scan.update_ledger(second, ledger, rule_version="next")
+    assert secret_scan.unseen_blobs(second, ledger, rule_version="next").count() == 0 and spark.read.parquet(ledger).count() == 8
+    rows = documents([(k, t) for k, t in enumerate([*SECRETS, *SECRETS, None, "clean"])])
+    whole, cut = (sorted(map(str, secret_scan.scan_history(rows, pushes).collect())) for pushes in (1, 3))
+    assert whole == cut
 
 
 def repeat_words(w):
@@ -136,6 +183,8 @@ def test_top_k(spark):
         want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
     assert sorted(got) == sorted(want)
     assert topk.search_every_hundredth(df.limit(0)).count() == 0
+    vast = spark.createDataFrame([(0, [1e306, 1.0]), (1, [-1e306, 0.5]), (2, [1.0, 1e300]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.search_every_hundredth(vast).orderBy("rank").collect()] == [(2, topk.MOST), (3, 0), (1, -topk.MOST)]
 
 
 def test_top_k_repeats(spark, monkeypatch):
@@ -175,6 +224,23 @@ def test_bpe(documents, odd, empty):
     assert {r.doc_id: list(r.ids) for r in bpe.encode_documents(documents(rows), PATH, PATTERN).collect()}[3] == reference.encode_ordinary(texts[3])
 
 
+def test_bpe_long_pieces_and_clashes(documents, monkeypatch):
+    reference = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    own = bpe.Encoder(bpe.load_ranks(PATH), PATTERN)
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(bpe, "LONG", 3)
+    for alphabet in ("a", "ab", "aehlnorst", "abcdefghijklmnopqrstuvwxyz"):
+        for n in (4, 5, 63, 64, 65, 900):
+            piece = "".join(rng.choice(list(alphabet), n))
+            assert np.frombuffer(own.merge([piece.encode()])[0], "<u4").tolist() == reference._core_bpe.encode_single_piece(piece.encode())
+    monkeypatch.setattr(bpe, "LONG", 2048)
+    piece = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))
+    assert np.frombuffer(own.encode([piece])[0], "<u4").tolist() == reference.encode_ordinary(piece)
+    docs = documents([(1, "ab cd")]).withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(2))
+    row = bpe.encode_documents(docs, PATH, PATTERN).first()
+    assert list(row.ids) == reference.encode_ordinary("ab cd") and bytes(row.decoded) == b"ab cd"
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<\\/s>", "<\\\\|turn|>", "plain", "[[INST]]<s><<SYS>>", "a\\b<|end|"])
 def test_escapes(text):
     assert chat.unescape(chat.escape(text)) == text
@@ -206,6 +272,27 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity_report(odd, labels).count() == 10 and toxicity.toxicity_report(empty, labels.limit(0)).count() == 0
 
 
+def test_kernel_against_brute_force():
+    """Likeness is the weighted sum over shared three-letter subsequences of at most SPAN letters."""
+    def features(word):
+        marked, out = f"\x01{word}\x02", Counter()
+        for i, j, k in itertools.combinations(range(len(marked)), 3):
+            if k - i < toxicity.SPAN:
+                out[marked[i] + marked[j] + marked[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def norm(word):
+        n = len(word) + 2
+        return sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in itertools.combinations(range(n), 3) if k - i < toxicity.SPAN) ** 0.5
+
+    marks, words_ = ["idiot", "moron", "stupid"], ["idiot", "idixot", "i1diot", "mron", "stuupid", "xyz", "id"]
+    rows = toxicity.Landmarks(marks).rows(words_)
+    for word, row in zip(words_, rows, strict=True):
+        want = [sum(features(word)[t] * v for t, v in features(m).items()) / norm(word) / norm(m) for m in marks]
+        want = [x**toxicity.POWER if x >= toxicity.LEAST else 0 for x in want]
+        assert np.allclose(row, want, atol=1e-4), word
+
+
 def planted_scores(spark, texts):
     """The score of each text, by a model of the smallest tables."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local sessions (tests) get a
+    temporary one; on a cluster executors would not see it, so that is an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = getattr(spark.sparkContext, "_treelake_shared", None)
         if found is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="spark-treelake-")
             spark.sparkContext._treelake_shared = found
     return found

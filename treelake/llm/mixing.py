@@ -53,6 +53,38 @@ def quotas(sizes: dict, weights=WEIGHTS, cap: int = MAX_PASSES) -> dict:
     return held
 
 
+def parts_of(patterns) -> list[list[tuple]]:
+    """The patterns in sets that share no source, each of which is a flow problem of its own."""
+    top: dict = {}
+
+    def find(s):
+        while top[s] != s:
+            top[s] = top[top[s]]
+            s = top[s]
+        return s
+
+    key = lambda s: (s is None, s or "")
+    for p in patterns:
+        names = [key(s) for s in p]
+        for s in names:
+            top.setdefault(s, s)
+        for s in names[1:]:
+            top[find(s)] = find(names[0])
+    parts: dict = {}
+    for p in patterns:
+        parts.setdefault(find(key(p[0])) if p else None, []).append(p)
+    return list(parts.values())
+
+
+def routed(capacity: dict[tuple, int], quota: dict, passes: int) -> dict[tuple, dict]:
+    """pattern -> source -> tokens, of the cheapest flow, found for each set of entangled sources by itself."""
+    flow: dict[tuple, dict] = {}
+    for part in parts_of(capacity):
+        sources = {s for p in part for s in p}
+        flow |= min_cost_flow({p: capacity[p] for p in part}, {s: quota[s] for s in quota if s in sources}, passes)
+    return flow
+
+
 def min_cost_flow(capacity: dict[tuple, int], quota: dict, passes: int = MAX_PASSES) -> dict[tuple, dict]:
     """pattern -> source -> tokens. Successive cheapest augmenting paths; pass k of a pattern costs k * k a token."""
     patterns, sources = list(capacity), list(quota)
@@ -149,7 +181,7 @@ def plan(narrow: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES) -> tuple[
             sizes[s] = sizes.get(s, 0) + size
     target = quotas(sizes, weights, passes)
     # A document of several sources can fill one quota at a time, so what the patterns hold bounds the flow, not the sizes.
-    flow = min_cost_flow(capacity, {s: round(t) for s, t in target.items()}, passes)
+    flow = routed(capacity, {s: round(t) for s, t in target.items()}, passes)
     orders = []
     for r in sums:
         p, size = tuple(r.pattern), r["size"]
