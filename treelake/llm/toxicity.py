@@ -35,7 +35,7 @@ DECAY = 0.6
 SPAN = 6
 #: The kernel's power, and the likeness under which it counts as 0: two letters put into a word of five leave 0.43 or more.
 POWER, LEAST = 2, 0.42
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 128, 128
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 64
 #: Letters of a window, its two end marks included; a longer unit counts as its highest window.
 WINDOW, STRIDE = 26, 12
 #: Units of more letters than LONG, end marks included, also count by windows of SHORT letters, STEP apart, so that a word
