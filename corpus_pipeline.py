@@ -46,7 +46,7 @@ STAGES = [
     ("byte-level BPE", token_ids),
 ]
 
-#: No SQL: BPE merges and the seeded mix are beyond it; tests hold the stages against brute force.
+#: No SQL: BPE merges and the seeded mix are beyond it.
 ORACLE_SQL = None
 
 
