@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from ..plans import passthrough
+from ..schema import code, op
 from ..sources import config, stores
 from ..sources import namespace as S
-from ..streaming import windows
+from ..streaming import replay, windows
 from . import base as B
 from . import query
 
@@ -136,11 +137,27 @@ def st_microbatch(spark, d):
     return windows.micro_batches(windows.read_events(spark, d))
 
 
-@query(B.with_(B.OPLOG, body="SELECT client, count(*) FILTER (opcode = 6) AS opened, greatest(count(*) FILTER (opcode = 6) - count(*) FILTER (opcode = 5), 0) AS still_open FROM oplog GROUP BY 1"))
+@query(B.with_(B.OPLOG, body="""SELECT client, max(opened) AS opened, arg_max(s - least(0, low), event_id)::BIGINT AS still_open, max(s - least(0, low))::BIGINT AS peak FROM (
+    SELECT *, min(s) OVER (PARTITION BY client ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS low FROM (SELECT client, event_id, count(*) FILTER (opcode = 6) OVER (PARTITION BY client) AS opened,
+        sum(CASE opcode WHEN 6 THEN 1 WHEN 5 THEN -1 ELSE 0 END) OVER (PARTITION BY client ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM oplog)) GROUP BY 1"""))
 def st_state_fd(spark, d):
+    """Open handles of each client, its opens and closes taken in order."""
     return windows.open_handles(S.oplog(spark, d), opened=6, closed=5)
 
 
 @query(B.with_(B.OPLOG, body="SELECT client, arg_max(opcode, event_id) AS last_op, max(event_id) AS last_event, count(*) FILTER (opcode = 4) - count(*) FILTER (opcode = 8) AS balance FROM oplog GROUP BY 1"))
+def st_client_state(spark, d):
+    return windows.client_states(windows.read_events(spark, d))
+
+
+@query(B.with_(B.OPLOG, """r AS (SELECT event_id, opcode, 'u' || client AS dir, 'f' || event_id % 7 AS name, min(event_id) FILTER (opcode = MKDIR) OVER (PARTITION BY client) AS made FROM oplog)""",
+    """s AS (SELECT *, coalesce(made < event_id, false) AS there, last_value(CASE WHEN made < event_id AND opcode IN (CREATE_, UNLINK_) THEN opcode = CREATE_ END IGNORE NULLS) OVER (PARTITION BY dir, name ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS had FROM r)""",
+    body="""SELECT event_id, opcode, (CASE WHEN opcode = MKDIR THEN CASE WHEN event_id = made THEN 0 ELSE PATH_EXISTS END WHEN NOT there THEN PATH_IS_INVALID
+        WHEN opcode = CREATE_ THEN CASE WHEN had THEN FILE_EXISTS ELSE 0 END WHEN had THEN 0 ELSE FILE_NOT_EXISTS END)::INTEGER AS error_code FROM s""")
+    .replace("MKDIR", str(op("MKDIR"))).replace("CREATE_", str(op("CREATE"))).replace("UNLINK_", str(op("UNLINK"))).replace("PATH_EXISTS", str(code("PATH_EXISTS"))).replace("PATH_IS_INVALID", str(code("PATH_IS_INVALID")))
+    .replace("FILE_NOT_EXISTS", str(code("FILE_NOT_EXISTS"))).replace("FILE_EXISTS", str(code("FILE_EXISTS"))))
 def st_oplog_apply(spark, d):
-    return windows.apply_log(windows.read_events(spark, d))
+    """The log replayed on directories and files: a directory a client, seven file names in each."""
+    log = windows.read_events(spark, d)
+    name = F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string"))
+    return replay.replay_stream(log.select("event_id", "opcode", F.concat(F.lit("u"), F.col("client").cast("string")).alias("dir"), name.alias("name")))

@@ -33,23 +33,37 @@ WRITE_BUFFER = 256 * 1024
 
 def coalesce_writes(writes: DataFrame, key: str, limit: int = WRITE_BUFFER) -> DataFrame:
     """key, flush, start, bytes: writes (seq, start, size) of a key in order are gathered while each goes on where the
-    last ended; a gap, or a write that would pass the limit, flushes first."""
-    entry = F.struct("seq", "start", "size")
-    ordered = writes.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("w"))
-    zero = F.struct(F.array().cast("array<struct<start:bigint,bytes:bigint>>").alias("done"), F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("bytes"))
-
-    def step(s: Column, w: Column) -> Column:
-        goes_on = s["start"].isNotNull() & (w["start"] == s["start"] + s["bytes"]) & (s["bytes"] + w["size"] <= limit)
-        flushed = F.when(s["start"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["bytes"].alias("bytes")))))
-        return F.struct(
-            F.when(goes_on, s["done"]).otherwise(flushed).alias("done"),
-            F.when(goes_on, s["start"]).otherwise(w["start"].cast("bigint")).alias("start"),
-            F.when(goes_on, s["bytes"] + w["size"]).otherwise(w["size"].cast("bigint")).cast("bigint").alias("bytes"),
-        )
-
-    last = lambda s: F.concat(s["done"], F.array(F.struct(s["start"].alias("start"), s["bytes"].alias("bytes"))))
-    flushes = ordered.select(key, F.posexplode(F.aggregate("w", zero, step, last)).alias("flush", "f"))
-    return flushes.select(key, "flush", F.col("f.start").alias("start"), F.col("f.bytes").alias("bytes"))
+    last ended; a gap, or a write that would pass the limit, flushes first. A write without start or size stands alone.
+
+    Gaps cut a key into runs that don't depend on each other. Runs are spread over tasks and each is read in order as a
+    stream, of which only the open buffer is held."""
+    before = f"over (partition by {key} order by seq, start, size)"
+    gaps = writes.withColumn("_gap", F.expr(f"coalesce(cast(start != lag(start + size) {before} as int), 1)"))
+    runs = gaps.withColumn("_run", F.expr(f"sum(_gap) over (partition by {key} order by seq, start, size rows between unbounded preceding and current row)"))
+    rows = runs.select(key, "_run", "seq", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    dealt = rows.repartition(key, "_run").sortWithinPartitions(key, "_run", "seq", "start", "size")
+
+    kinds = dict(rows.dtypes)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        run, first, start, size, names = None, 0, 0, 0, None  # the open buffer
+        for batch in batches:
+            done, names = [], pa.schema([batch.schema.field(0), pa.field("_first", batch.schema.field("seq").type), pa.field("start", pa.int64()), pa.field("bytes", pa.int64())])
+            for k, r, seq, at, n in zip(*(column.to_pylist() for column in batch.columns)):
+                if (k, r) == run and size + n <= limit:
+                    size += n
+                    continue
+                if run is not None:
+                    done.append((run[0], first, start, size))
+                run, first, start, size = (k, r), seq, at, n
+            yield pa.RecordBatch.from_pylist([dict(zip(names.names, row)) for row in done], schema=names)
+        if run is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names.names, (run[0], first, start, size)))], schema=names)
+
+    flushes = dealt.mapInArrow(pack, f"`{key}` {kinds[key]}, _first {kinds['seq']}, start bigint, bytes bigint")
+    return flushes.select(key, F.expr(f"row_number() over (partition by {key} order by _first, start) - 1").alias("flush"), "start", "bytes")
 
 
 def read_blocks(files: DataFrame, block: int = 1 << 20, pipes: int = 3) -> DataFrame:
@@ -142,11 +156,29 @@ def stable_since(samples: DataFrame, window: int) -> DataFrame:
     return runs.filter(F.col("stop") - F.col("start") >= window).select("target", "start", "stop")
 
 
-def adjust_wait(loads: DataFrame, batch: int, top: int = 512) -> DataFrame:
-    """pool, wait: from 1, doubled (at most top) when a load is at most twice the batch, else halved (at least 1)."""
-    ordered = loads.groupBy("pool").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "load"))), lambda x: x["load"]).alias("loads"))
-    step = lambda w, load: F.when(load <= 2 * batch, F.least(w * 2, F.lit(top).cast("long"))).otherwise(F.greatest(F.floor(w / 2).cast("long"), F.lit(1).cast("long")))
-    return ordered.select("pool", F.aggregate("loads", F.lit(1).cast("long"), step).alias("wait"))
+def adjust_wait(loads: DataFrame, batch: int, top: int = 512, block: int = 4096) -> DataFrame:
+    """pool, wait: from 1, doubled (at most top, a power of two) when a load is at most twice the batch, else halved (at least
+    1). seq numbers the events of a pool.
+
+    A step moves the exponent of the wait by one within 0..log2(top), and a run of steps acts as x -> min(max(x + by, low), high).
+    So blocks of `block` numbers are summed up by themselves, then blocks of blocks, and no row holds all events of a pool."""
+    high = top.bit_length() - 1
+    if top != 1 << high:
+        raise ValueError("top must be a power of two")
+    by = F.when(F.col("load") <= 2 * batch, 1).otherwise(-1).cast("long")
+    rows = loads.select("pool", F.col("seq").cast("long").alias("seq"), by.alias("by"), F.lit(0).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+    nothing = F.struct(F.lit(0).cast("long").alias("by"), F.lit(0).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+
+    def then(f: Column, g: Column) -> Column:
+        end = lambda c: F.least(F.greatest(f[c] + g["by"], g["low"]), g["high"])
+        return F.struct((f["by"] + g["by"]).alias("by"), end("low").alias("low"), end("high").alias("high"))
+
+    for last in (False, False, True):
+        group = ["pool"] if last else ["pool", F.floor(F.col("seq") / block).alias("seq")]
+        steps = F.array_sort(F.collect_list(F.struct("seq", "by", "low", "high")))
+        rows = rows.groupBy(*group).agg(F.aggregate(steps, nothing, then).alias("f")).select("pool", *([] if last else ["seq"]), "f.by", "f.low", "f.high")
+    exponent = F.least(F.greatest(F.col("by"), F.col("low")), F.col("high"))
+    return rows.select("pool", F.pow(F.lit(2), exponent).cast("long").alias("wait"))
 
 
 def missing_servers(have: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -70,13 +70,34 @@ def rates(log: DataFrame, length: str, seconds: int) -> DataFrame:
     return counts.select("start", "n", F.expr("n - coalesce(lag(n) over (order by start), 0)").alias("change"), (F.col("n") / seconds).alias("per_second"))
 
 
+#: Numbers of events in a block of a client's log.
+HANDLE_BLOCK = 1 << 16
+
+
 def open_handles(log: DataFrame, opened: int, closed: int) -> DataFrame:
-    """Opens of a client, and how many have no close."""
-    rows = log.groupBy("client").agg(F.count_if(F.col("opcode") == opened).alias("opened"), F.count_if(F.col("opcode") == closed).alias("_closed"))
-    return rows.select("client", "opened", F.greatest(F.col("opened") - F.col("_closed"), F.lit(0)).alias("still_open"))
+    """Opens of a client, how many are open after its log, and the most that were at once. Closes follow event_id and end one
+    open each; a close with nothing open changes nothing.
+
+    Each block of a client's events is walked by itself, from any count c on: after step i it holds max(c + sum, sum - least sum so far). The
+    blocks, one row each, are then put together in order, so a busy client is spread over tasks."""
+    step = F.when(F.col("opcode") == opened, 1).when(F.col("opcode") == closed, -1).otherwise(0)
+    rows = log.select("client", "event_id", F.floor(F.col("event_id") / HANDLE_BLOCK).alias("_block"), step.cast("long").alias("_step"), (F.col("opcode") == opened).alias("_open"))
+    so_far = "over (partition by client, _block order by event_id rows between unbounded preceding and current row)"
+    walked = rows.withColumn("_sum", F.expr(f"sum(_step) {so_far}"))
+    walked = walked.withColumn("_rise", F.col("_sum") - F.expr(f"min(_sum) {so_far}"))
+    blocks = walked.groupBy("client", "_block").agg(
+        F.count_if("_open").alias("opened"), F.sum("_step").alias("_sum"), F.min("_sum").alias("_low"), F.max("_sum").alias("_high"), F.max("_rise").alias("_rise"),
+    )
+    order = "partition by client order by _block rows between unbounded preceding and"
+    chain = blocks.withColumn("_all", F.expr(f"coalesce(sum(_sum) over ({order} 1 preceding), 0)"))
+    # the count at a block's start is the sum before it less the least sum before it (at most 0)
+    chain = chain.withColumn("_least", F.least(F.lit(0), F.expr("min(_low + _all) over (partition by client order by _block rows between unbounded preceding and 1 preceding)")))
+    chain = chain.withColumn("_c", F.col("_all") - F.col("_least"))
+    end = F.sum("_sum") - F.least(F.lit(0), F.min(F.col("_all") + F.col("_low")))
+    return chain.groupBy("client").agg(F.sum("opened").alias("opened"), end.alias("still_open"), F.max(F.greatest(F.lit(0), F.col("_c") + F.col("_high"), F.col("_rise"))).alias("peak"))
 
 
-def apply_log(log: DataFrame) -> DataFrame:
+def client_states(log: DataFrame) -> DataFrame:
     """State of each client after its log: last operation, and creates less unlinks."""
     state = log.groupBy("client").agg(
         F.max_by("opcode", "event_id").alias("last_op"), F.max("event_id").alias("last_event"), (F.count_if(F.col("opcode") == 4) - F.count_if(F.col("opcode") == 8)).alias("balance"),
