@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..functions import hashing as H
+from ..operators import placement, records
 from ..plans import passthrough
 from ..schema import code, op
-from ..sources import config, stores
+from ..sources import config, shards, stores
 from ..sources import namespace as S
 from ..streaming import replay, windows
 from . import base as B
@@ -79,6 +80,19 @@ def sink_ddl(spark, d):
     return stores.partitioned_copy(S.xattrs(spark, d), stores.scratch(spark, f"ddl-{uuid.uuid4().hex}"), "parentid_partid")
 
 
+@query(B.with_(B.part_hash(), B.shard_map(), f"""x AS (SELECT {B.combine('4096::BIGINT', 'name')} AS parentid_partid, name, unnest(['quality', 'toxic']) AS xKey, unnest([quality, toxic])::VARCHAR AS xValue FROM (SELECT 'doc_' || doc_id AS name, quality, toxic FROM labels))""",
+    body="""SELECT parentid_partid, name, xKey, xValue, s.range_point FROM (SELECT x.*, hash FROM x JOIN part_hash ON part = parentid_partid & 8191) f ASOF JOIN shard_map s ON f.hash <= s.range_point
+        WHERE s.server_id = 1 AND s.range_point <> (SELECT min(range_point) FROM shard_map WHERE server_id = 1)"""))
+def sink_ddl_points(spark, d):
+    """The tables of one server, its attributes written to them, and the shard of its least range point dropped."""
+    base = f"ddl_{uuid.uuid4().hex}"
+    shard_map = placement.build(spark, 50, 4)
+    shards.create(spark, base, shard_map, 1)
+    shards.load(S.xattrs(spark, d), base, "xattr", H.part_of(F.col("parentid_partid")), shard_map)
+    shards.drop_at(spark, base, shards.points_of(spark, base, "xattr").agg(F.min("range_point")).first()[0])
+    return spark.table(f"{base}.xattr")
+
+
 @query("SELECT event_id AS index, event_type AS action, event_id % 3 <> 0 AS injected, value AS recover_seconds FROM events")
 def sink_jsonl(spark, d):
     """Events as JSON lines, written and read back."""

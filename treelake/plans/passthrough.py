@@ -19,6 +19,6 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def plain_command(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The result of one statement, every value as a string."""
+    """The result of one statement, every value as a string; a text of several statements is an error."""
     rows = sql(spark, sf_dir, text)
     return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns])
